@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash
-from .common import table
+from . import bpe, langid, packing, quality, simhash, toxicity
+from .common import digest_remainder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -28,9 +28,28 @@ def op4_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit_toxicity(documents, labels.where(digest_remainder("doc_id", 3) != 1))
+    scored = toxicity.score_toxicity(documents, model)
+    return scored.select("doc_id", (digest_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = digest_remainder("doc_id", 5) == 0
+    dictionaries = langid.fit_dictionaries(documents.where(~held_out))
+    found = langid.identify_languages(documents.select("doc_id", "text"), dictionaries)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), F.col("lang_rejected").alias("rejected"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_bpe_chunk_reuse, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_bpe_chunk_reuse, op5_quality_mcd, op6_toxicity_levenshtein, op9_language_id, op10_best_fit_packing)}
 ORACLE_SQL: dict[str, str] = {}
