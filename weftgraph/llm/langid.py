@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def _clean(text: str) -> str:
-    return text.lower()
+    """The lower-case words; digits, signs and line ends tell no language."""
+    return " ".join(_LETTERS.findall(text.lower()))
 
 
 def fit_dictionaries(df: DataFrame, dictionary_bytes: int = 98_304, text_bytes: int = 4096, lang_col: str = "lang", text_col: str = "text", most_languages: int = 500) -> dict[str, bytes]:
@@ -31,7 +36,7 @@ def fit_dictionaries(df: DataFrame, dictionary_bytes: int = 98_304, text_bytes:
     The fit is on a bounded sample: of each language the texts with the least hashes, each text once, up to
     ``dictionary_bytes`` (longer texts are used only if a language has no others, and are then cut).
     Each task keeps only as many texts as can matter, so at most dictionary_bytes a language and task are shuffled.
-    Null labels and null or empty texts are left out; no rows: no dictionaries. ``most_languages`` bounds the labels.
+    Null labels and null or empty texts are left out; no rows: no dictionaries. ``most_languages`` bounds the labels, which come in order of their number of rows.
     """
     schema = pa.schema([("lang", pa.string()), ("rank", pa.int64()), ("body", pa.string())])
 
@@ -68,30 +73,37 @@ def fit_dictionaries(df: DataFrame, dictionary_bytes: int = 98_304, text_bytes:
         out.setdefault(r["lang"], []).append((r["rank"], r["body"]))
     if len(out) > most_languages:
         raise ValueError(f"{len(out)} languages; most_languages is {most_languages}")
-    return {lang: "\n".join(body for _, body in sorted(rows, reverse=True)).encode() for lang, rows in sorted(out.items())}
+    seen = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    in_order = sorted(out.items(), key=lambda x: (-seen[x[0]], x[0]))
+    return {lang: "\n".join(body for _, body in sorted(rows, reverse=True)).encode() for lang, rows in in_order}
 
 
 class CompressionClassifier:
-    def __init__(self, dictionaries: dict[str, bytes], level: int = 3, block: int = 8192):
+    def __init__(self, dictionaries: dict[str, bytes], level: int = 6, block: int = 8192, short: int = 512, short_level: int = 9):
         import zstandard
 
-        self.block, self.compressors = block, {}
+        self.block, self.short = block, short
+        self.compressors, self.closer = {}, {}
         options = {"write_checksum": False, "write_content_size": False, "write_dict_id": False}
         for lang, data in dictionaries.items():
-            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=level)
-            self.compressors[lang] = zstandard.ZstdCompressor(level=level, dict_data=d, **options)
+            for at, into in ((level, self.compressors), (short_level, self.closer)):
+                d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=at)
+                into[lang] = zstandard.ZstdCompressor(level=at, dict_data=d, **options)
 
     def sizes(self, text: str) -> dict[str, int]:
-        data = _clean(text).encode()
+        """Compressed bytes of a cleaned text by language."""
+        data = text.encode()
         blocks = [data[i : i + self.block] for i in range(0, len(data), self.block)]
-        return {lang: sum([len(c.compress(b)) for b in blocks]) for lang, c in self.compressors.items()}
+        compressors = self.compressors if len(data) > self.short else self.closer  # short texts need a wider search
+        return {lang: sum([len(c.compress(b)) for b in blocks]) for lang, c in compressors.items()}
 
     def classify(self, text: str | None) -> tuple[str, float, float]:
-        """Language, score 0 to 1, margin. Null or no letter: ``und``, 0, 0. Ties: the first label in order."""
-        if not text or not self.compressors or not any(map(str.isalpha, text)):
+        """Language, score 0 to 1, margin. Null or no letter: ``und``, 0, 0. Ties: the label with more learned rows."""
+        text = _clean(text or "")
+        if not text or not self.compressors:
             return UNKNOWN, 0.0, 0.0
-        ranked = sorted((n, lang) for lang, n in self.sizes(text).items())
+        ranked = sorted(((n, lang) for lang, n in self.sizes(text).items()), key=lambda x: x[0])
         if len(ranked) == 1:
             return ranked[0][1], 1.0, 1.0
         margin = (ranked[1][0] - ranked[0][0]) / ranked[1][0]
@@ -101,7 +113,7 @@ class CompressionClassifier:
 _WORKER: dict[str, CompressionClassifier] = {}
 
 
-def identify_languages(df: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.01, text_col: str = "text") -> DataFrame:
+def identify_languages(df: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.003, text_col: str = "text") -> DataFrame:
     """``df`` with lang_pred, lang_score, lang_margin, lang_rejected.
 
     Rejected: texts that are null or have no letter (``und``), and those with a margin under ``least_margin``.

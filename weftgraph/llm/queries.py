@@ -3,20 +3,33 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, simhash, toxicity
-from .common import digest_remainder, table
+from . import bpe, chroma, langid, licenses, packing, pii, quality, resample, simhash, toxicity
+from .common import digest_remainder, materialize, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no audio, so each embedding is the media column: a series that is rendered as tones."""
+    fps = materialize(chroma.fingerprint_media(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", chroma.render_vector))
+    return chroma.align_recordings(fps, F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the texts labelled quality 1. The label table is joined by id, the smaller side as the planner sees it."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("_target", F.lit(True))
+    return resample.resample(documents.join(good, "doc_id", "left"), share=0.8)
+
+
 def op4_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
     decoded = bpe.decode_documents(encoded, TOKENIZER)
@@ -39,6 +52,21 @@ def op6_toxicity_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (digest_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_licenses", F.size("licenses").cast("long"))
+
+
+def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+
+    def text(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    more = F.transform("more", lambda s: F.struct(F.lit(pii.OTHER).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(text(F.col("spans")), 256).alias("base_sha256"), text(F.concat("spans", more)).alias("spans"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = digest_remainder("doc_id", 5) == 0
@@ -51,5 +79,19 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_bpe_chunk_reuse, op5_quality_mcd, op6_toxicity_levenshtein, op9_language_id, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chroma_fingerprints,
+        op2_simhash_near_dedup,
+        op3_importance_resampling,
+        op4_bpe_chunk_reuse,
+        op5_quality_mcd,
+        op6_toxicity_levenshtein,
+        op7_license_scan,
+        op8_pii_bootstrap,
+        op9_language_id,
+        op10_best_fit_packing,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
