@@ -27,6 +27,7 @@ FLOORS = (0.05, 0.05, 0.15, 0.15, 0.05)
 P = len(FLOORS)
 CHI2_MEDIAN_5 = 4.351
 BUCKETS, PER_UNIT = 400, 16
+SALTS = 32
 
 
 def _bound(value: Column, body) -> Column:
@@ -141,9 +142,14 @@ def _first_estimate(rows: DataFrame) -> DataFrame:
     return _factored(g, ["group"])
 
 
+def salted(params: DataFrame) -> DataFrame:
+    return params.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def _bucketed(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Rows with d2 and its bucket; the parameters are one row a group, and whether they are broadcast is the planner's choice by size."""
-    return rows.join(params, "group").withColumn("d2", _distance2()).withColumn("bucket", F.least(F.floor(F.log1p("d2") * PER_UNIT), F.lit(BUCKETS - 1)).cast("int"))
+    """Rows with d2 and its bucket. The parameters, one row a group, are repeated for each salt, so a hot group's rows are
+    dealt over SALTS tasks; whether they are broadcast is the planner's choice by size."""
+    return rows.join(salted(params), ["group", "salt"]).withColumn("d2", _distance2()).withColumn("bucket", F.least(F.floor(F.log1p("d2") * PER_UNIT), F.lit(BUCKETS - 1)).cast("int"))
 
 
 def _concentrate(rows: DataFrame, params: DataFrame, support: float) -> DataFrame:
@@ -186,7 +192,9 @@ def quality_rules(
     small = F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).over(Window.partitionBy("_lang"))
     level = F.when(F.col("own"), F.to_json(F.struct("_lang", "_source"))).when(small >= least_rows, F.to_json(F.struct("_lang"))).otherwise(F.lit("all"))
     groups = materialize(by_source.withColumn("group", level).select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), "group"))
-    rows = used.join(groups, F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))).drop("_gl", "_gs")
+    named = salted(groups).withColumnRenamed("salt", "_s")
+    rows = used.withColumn("salt", F.pmod(F.xxhash64("_uid"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(named, (F.col("salt") == F.col("_s")) & F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))).drop("_gl", "_gs", "_s")
     params = _first_estimate(rows)
     for _ in range(steps):
         params = _concentrate(rows, params, support)
