@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,6 +106,14 @@ class PropertyGraph:
             defaults = {n: system_default(spark_type(t)) if d is None else d.cast(spark_type(t)) for n, t, d in columns}
             self.add_rel(type_, src, dst, self.spark.createDataFrame([], schema), multiplicity=multiplicity, types={n: t for n, t, _ in columns}, defaults=defaults, sort_key=sort_key)
 
+    def copy(self) -> PropertyGraph:
+        """A graph with the same snapshots, whose changes leave this one alone."""
+        g = PropertyGraph(self.spark)
+        g.nodes = {k: replace(n, types=dict(n.types), defaults=dict(n.defaults)) for k, n in self.nodes.items()}
+        g.rels = {k: [replace(t, types=dict(t.types), defaults=dict(t.defaults)) for t in ts] for k, ts in self.rels.items()}
+        g._ordinals = self._ordinals
+        return g
+
     # ---- looking up
 
     def key_type(self, label: str) -> T.DataType:

@@ -47,5 +47,12 @@ def graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return g
 
 
+_GRAPHS: dict[tuple[str, str], PropertyGraph] = {}
+
+
 def database(spark: SparkSession, sf_dir: str) -> GraphDatabase:
-    return GraphDatabase(spark, graph=graph(spark, sf_dir))
+    """A database over the tables; footers are read once a session, changes stay in the database."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _GRAPHS:
+        _GRAPHS[key] = graph(spark, sf_dir)
+    return GraphDatabase(spark, graph=_GRAPHS[key].copy())
