@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.llm import langid, packing, pii, quality, simhash
-from weftgraph.llm.common import shared_folder, table
+from weftgraph.llm.common import session_for_texts, shared_folder, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -19,12 +19,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rejected are texts that are null or have no letter, and those between languages.
     """
+    session_for_texts(spark)
     found = langid.identify_languages(docs, langid.fit_dictionaries(docs))
     return found.where(~F.col("lang_rejected")).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
+    session_for_texts(spark)
     uid = "_row"
     rows = docs.withColumn(uid, F.xxhash64("doc_id", "text", "lang", "source"))
     good = quality.quality_rules(rows, keep=(uid,)).where("kept").select(uid).distinct()
@@ -33,6 +35,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least doc_id, and of its repeated rows one."""
+    session_for_texts(spark)
     found = simhash.near_duplicates(docs)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
@@ -40,11 +43,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with personal data masked by its kind; n_chars is the new length."""
+    session_for_texts(spark)
     return pii.mask_pii(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of at most 2048 tokens."""
+    session_for_texts(spark)
     return packing.pack_documents(docs, TOKENIZER)
 
 

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_state
+
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r\x0b\x0c])")
 _FIRST_CUT = re.compile(r"\S[ \t\n\r\x0b\x0c]")
 _SPACE_AFTER_SPACE = re.compile(r"\s ")
@@ -43,18 +45,15 @@ def _byte_alphabet() -> dict[str, int]:
 class ByteBpe:
     """Encodes and decodes as a byte-level BPE tokenizer file says; ids are little-endian uint32 in bytes."""
 
-    def __init__(self, path: str, cached_segments: int = 400_000):
+    def __init__(self, path: str, cached_segments: int = 200_000):
         import json
 
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.library = Tokenizer.from_file(path)
-        self.library.no_padding()
-        self.library.no_truncation()
+        self.path, self._library = path, None
         self.specials = [t["content"] for t in spec["added_tokens"]]
         alphabet = _byte_alphabet()
         vocab = {bytes(alphabet[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.specials}
@@ -68,6 +67,17 @@ class ByteBpe:
         self.cached_segments = cached_segments
         self._spaced: dict[str, bytes] = {}  # key w stands for the segment " " + w
 
+    @property
+    def library(self):
+        """The tokenizers library's own encoder, read when it is first needed."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_padding()
+            self._library.no_truncation()
+        return self._library
+
     def _library_ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -164,7 +174,7 @@ def _between_characters(data: bytes, at: int) -> int:
 class ChunkedEncoder:
     """Encodes texts by way of shared chunks; ``reused`` and ``encoded`` count chunks."""
 
-    def __init__(self, bpe: ByteBpe, cache_mb: int = 48, **chunking):
+    def __init__(self, bpe: ByteBpe, cache_mb: int = 32, **chunking):
         self.bpe, self.chunking = bpe, chunking
         self.most, self.held = cache_mb << 20, 0
         self.chunks: dict[bytes, tuple[str, bytes, str] | None] = {}
@@ -207,14 +217,9 @@ class ChunkedEncoder:
         return b"".join(out)
 
 
-_WORKER: dict[tuple, ChunkedEncoder] = {}
-
-
 def worker_encoder(path: str) -> ChunkedEncoder:
     """This Python worker's encoder; its caches last over tasks."""
-    if (path,) not in _WORKER:
-        _WORKER[(path,)] = ChunkedEncoder(ByteBpe(path))
-    return _WORKER[(path,)]
+    return worker_state(("bpe", path), lambda: ChunkedEncoder(ByteBpe(path)))
 
 
 def batches(rows: Iterator[tuple], schema: pa.Schema, most_rows: int = 2000, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +47,30 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch to and from Python: whole texts are long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
+def session_for_texts(spark: SparkSession) -> None:
+    """Bounds Arrow batches in this session; called by the queries and stages, whose rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+_STATE: dict[Any, Any] = {}
+
+
+def worker_state(key: Any, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps between its tasks. One operator's state is held at a time, so that the stages of a
+    pipeline, which run in the same workers, do not add up."""
+    if key not in _STATE:
+        _STATE.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can, free memory goes back at once
+            ctypes.CDLL(None).malloc_trim(0)
+        _STATE[key] = build()
+    return _STATE[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

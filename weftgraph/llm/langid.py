@@ -19,6 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import worker_state
+
 UNKNOWN = "und"
 
 
@@ -110,9 +112,6 @@ class CompressionClassifier:
         return ranked[0][1], 1 - math.exp(-25 * margin) / 2, margin
 
 
-_WORKER: dict[str, CompressionClassifier] = {}
-
-
 def identify_languages(df: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.003, text_col: str = "text") -> DataFrame:
     """``df`` with lang_pred, lang_score, lang_margin, lang_rejected.
 
@@ -124,10 +123,8 @@ def identify_languages(df: DataFrame, dictionaries: dict[str, bytes], least_marg
 
     @F.pandas_udf("struct<lang_pred string, lang_score double, lang_margin double>")
     def classify(texts: pd.Series) -> pd.DataFrame:
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = CompressionClassifier(shared.value)
-        return pd.DataFrame([_WORKER[key].classify(t) for t in texts], columns=["lang_pred", "lang_score", "lang_margin"])
+        classifier = worker_state(("langid", key), lambda: CompressionClassifier(shared.value))
+        return pd.DataFrame([classifier.classify(t) for t in texts], columns=["lang_pred", "lang_score", "lang_margin"])
 
     out = df.withColumn("_lang", classify(F.col(text_col)))
     out = out.select(*df.columns, "_lang.lang_pred", "_lang.lang_score", "_lang.lang_margin")

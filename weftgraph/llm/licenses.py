@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import splitmix
+from .common import splitmix, worker_state
 
 SHINGLE = 5
 _TOKEN = re.compile(r"\w+")
@@ -128,9 +128,6 @@ class Templates:
         return sorted(best, key=lambda f: (f[2], f[0]))
 
 
-_WORKER: dict[tuple, Templates] = {}
-
-
 def scan_licenses(df: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, licenses) for every row; licenses is an array of (license, containment, start, end).
 
@@ -139,11 +136,7 @@ def scan_licenses(df: DataFrame, templates: dict[str, str] = TEMPLATES, least: f
     match = pa.struct([("license", pa.string()), ("containment", pa.float64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = (tuple(templates.items()), least)
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = Templates(templates, least)
-        scan = _WORKER[key].scan
+        scan = worker_state(("licenses", tuple(templates.items()), least), lambda: Templates(templates, least)).scan
         for b in parts:
             rows = [[dict(zip(("license", "containment", "start", "end"), f, strict=True)) for f in scan(t.as_py())] for t in b[1]]
             yield pa.RecordBatch.from_arrays([b[0], pa.array(rows, pa.list_(match))], names=["doc_id", "licenses"])

@@ -7,30 +7,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chroma, langid, licenses, packing, pii, quality, resample, simhash, toxicity
-from .common import digest_remainder, materialize, table
+from .common import digest_remainder, materialize, session_for_texts, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no audio, so each embedding is the media column: a series that is rendered as tones."""
+    session_for_texts(spark)
     fps = materialize(chroma.fingerprint_media(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", chroma.render_vector))
     return chroma.align_recordings(fps, F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session_for_texts(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the texts labelled quality 1. The label table is joined by id, the smaller side as the planner sees it."""
+    session_for_texts(spark)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("_target", F.lit(True))
     return resample.resample(documents.join(good, "doc_id", "left"), share=0.8)
 
 
 def op4_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session_for_texts(spark)
     encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
     decoded = bpe.decode_documents(encoded, TOKENIZER)
     return decoded.select(
@@ -42,10 +46,12 @@ def op4_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session_for_texts(spark)
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def op6_toxicity_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session_for_texts(spark)
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit_toxicity(documents, labels.where(digest_remainder("doc_id", 3) != 1))
     scored = toxicity.score_toxicity(documents, model)
@@ -53,10 +59,12 @@ def op6_toxicity_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session_for_texts(spark)
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).withColumn("n_licenses", F.size("licenses").cast("long"))
 
 
 def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session_for_texts(spark)
     found = pii.find_pii(table(spark, sf_dir, "documents"))
 
     def text(spans: Column) -> Column:
@@ -68,6 +76,7 @@ def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session_for_texts(spark)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = digest_remainder("doc_id", 5) == 0
     dictionaries = langid.fit_dictionaries(documents.where(~held_out))
@@ -76,6 +85,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    session_for_texts(spark)
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
