@@ -2,7 +2,7 @@
 
 Fixed patterns find e-mail addresses, IP addresses, card numbers and phone numbers. From these seeds the operator
 learns: an instance is the shape of an identifier-like token (runs of letters and digits folded), a
-pattern the words that stand on its left. Instances and patterns form a weighted graph of how often they meet. Spark
+pattern the words on its left, or the forms of its neighbours. Instances and patterns form a weighted graph of how often they meet. Spark
 scores it in turns: a pattern is as sure as the weighted share of its instances that are held to be personal data, an
 instance as sure as the evidence of the sure patterns that meet it. Instances that end above the threshold are found
 in every text, with the kind ``other``. Only counts by (pattern, instance) are shuffled.
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: A pattern with as many meetings counts half.
+RARE = 20
 KINDS = ("email", "ip", "card", "phone")
 OTHER = "other"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -83,6 +85,11 @@ def shape(token: str) -> str:
     return re.sub(r"[^\W_]+", folded, token[:200])
 
 
+def _form(word: list[str]) -> str:
+    """The form of a neighbouring word: letters as a, digits as 9, signs as they are, runs as one."""
+    return re.sub(r"9+", "9", re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", word[0][:40]))) if word else ""
+
+
 def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, list[str]]]:
     """(kind or null, start, end, shape, patterns) of the fixed matches and of other tokens that hold a digit."""
     if not spans and not _DIGITS.search(text):
@@ -105,10 +112,10 @@ def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str |
             found.append((None, start, end))
     out = []
     for kind, start, end in found:
-        left = text[max(0, start - 60) : start].lower().split()
-        # the whole word on the left, and the two words, as lexical patterns
-        patterns = [w for w in (" ".join(left[-1:]), " ".join(left[-2:])) if w]
-        out.append((kind, start, end, shape(text[start:end]), sorted(set(patterns))))
+        left, right = text[max(0, start - 60) : start].lower().split(), text[end : end + 40].split()
+        # the word on the left, the two words there, and the forms of the words on both sides
+        patterns = {" ".join(left[-1:]), " ".join(left[-2:]), f"<{_form(left[-1:])} _ {_form(right[:1])}>"} - {""}
+        out.append((kind, start, end, shape(text[start:end]), sorted(patterns)))
     return out
 
 
@@ -137,8 +144,8 @@ def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def bootstrap(found: DataFrame, rounds: int = 3, least_support: int = 5, threshold: float = 0.5) -> DataFrame:
     """Rows (shape): instances held to be personal data, from rows (kind, shape, patterns).
 
-    A pattern's confidence is the share of its meetings that are with seeds or with instances found so far, lowered
-    for rare patterns; an instance's is the mean confidence of its meetings. A round takes in the instances above
+    A pattern's confidence is the share of its meetings that are with seeds or with instances found so far; an
+    instance's is the mean confidence of its meetings, in which rare patterns count less. A round takes in the instances above
     ``threshold`` with ``least_support`` meetings, and the last round's are returned. No seeds: none.
     """
     edges = found.select("kind", "shape", F.explode("patterns").alias("pattern"))
@@ -147,8 +154,9 @@ def bootstrap(found: DataFrame, rounds: int = 3, least_support: int = 5, thresho
     belief = graph.where("seed").select("instance").distinct().withColumn("belief", F.lit(1.0))
     for _ in range(rounds):
         believed = graph.join(belief, "instance", "left").withColumn("b", F.coalesce("belief", F.lit(0.0)))
-        patterns = believed.groupBy("pattern").agg((F.sum(F.col("b") * F.col("w")) / (F.sum("w") + 2)).alias("conf"))
-        scored = graph.where("NOT seed").join(patterns, "pattern").groupBy("instance").agg((F.sum(F.col("conf") * F.col("w")) / F.sum("w")).alias("belief"), F.sum("w").alias("support"))
+        patterns = believed.groupBy("pattern").agg((F.sum(F.col("b") * F.col("w")) / F.sum("w")).alias("conf"), (F.sum("w") / (F.sum("w") + RARE)).alias("sure"))
+        weight = F.col("w") * F.col("sure")
+        scored = graph.where("NOT seed").join(patterns, "pattern").groupBy("instance").agg((F.sum(F.col("conf") * weight) / F.sum(weight)).alias("belief"), F.sum("w").alias("support"))
         new = scored.where((F.col("belief") >= threshold) & (F.col("support") >= least_support)).select("instance", "belief")
         belief = materialize(graph.where("seed").select("instance").distinct().withColumn("belief", F.lit(1.0)).unionByName(new))
     return belief.where(~F.col("instance").startswith("=")).select(F.col("instance").alias("shape"))
