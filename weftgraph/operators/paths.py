@@ -11,7 +11,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Levels that are joined in one plan before a level is written.
@@ -22,18 +22,22 @@ MOST_HOPS = 30
 _OWN: dict[str, str] = {}
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir (a local one of its own only where that is unset) and read back."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; one of this session's own only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="weftgraph-levels-")
         folder = _OWN[app]
-    path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/level-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def walk(front: DataFrame, hops: DataFrame, c: str, lo: int, hi: int, mode: str, full: bool) -> DataFrame:

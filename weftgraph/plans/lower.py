@@ -352,7 +352,8 @@ class Lowering:
         types = tuple(dict.fromkeys(t.type for t, _ in chosen))
         edges = edge_table(self.graph, chosen, c, props, r.named)
         for k, e in r.props:
-            edges = edges.where(F.col(f"{c}__p_{k}") == self.ex(e, Scope(None)))
+            if not variables(e):
+                edges = edges.where(F.col(f"{c}__p_{k}") == self.ex(e, Scope(None)))
         from_labels = {t.src if fwd else t.dst for t, fwd in chosen}
         on = sc.df[f"{a.c}__id"] == edges[f"{c}__f"]
         if len(a.labels) > 1 or len(from_labels) > 1:
@@ -367,6 +368,9 @@ class Lowering:
         else:
             df = sc.df.join(edges, on).drop(f"{c}__f", f"{c}__fl")
             df, env[right.var] = self.arrive(right, df, f"{c}__t", f"{c}__tl", tuple(x for x in labels[right.var]))
+        for k, e in r.props:
+            if variables(e):
+                df = df.where(F.col(f"{c}__p_{k}") == self.ex(e, sc))
         if r.named:
             ends = tuple(dict.fromkeys((t.src, t.dst) for t, _ in chosen))
             env[r.var] = RelB(c, types, ends, props, known)
@@ -571,7 +575,7 @@ class Lowering:
         """
         m = A.Match(list(x.paths), x.where)
         pattern_vars = {n.var for p in x.paths for n in p.nodes} | {r.var for p in x.paths for r in p.rels}
-        shared = [v for v in dict.fromkeys([*pattern_vars, *sorted(variables(x.where))]) if v in sc.env]
+        shared = [v for v in dict.fromkeys([*pattern_vars, *sorted(variables(x.where) | variables(x.paths))]) if v in sc.env]
         if not shared:
             raise BindError("a sub-pattern shares no variable with the query")
         if all(isinstance(sc.env[v], NodeB) and v in pattern_vars for v in shared):
@@ -599,7 +603,7 @@ class Lowering:
         if sc.df is None:
             raise BindError("a query cannot start with OPTIONAL MATCH")
         pattern_vars = list(dict.fromkeys([n.var for p in m.paths for n in p.nodes] + [r.var for p in m.paths for r in p.rels]))
-        shared = [v for v in dict.fromkeys([*pattern_vars, *sorted(variables(m.where))]) if v in sc.env]
+        shared = [v for v in dict.fromkeys([*pattern_vars, *sorted(variables(m.where) | variables(m.paths))]) if v in sc.env]
         alone = bool(shared) and all(isinstance(sc.env[v], NodeB) and v in pattern_vars for v in shared)
         keys, env = [], {}
         if alone:
