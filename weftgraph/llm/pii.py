@@ -22,6 +22,8 @@ from .common import materialize
 
 #: A pattern with as many meetings counts half.
 RARE = 20
+#: Forms of neighbours say less than words.
+FORM_WEIGHT = 0.3
 KINDS = ("email", "ip", "card", "phone")
 OTHER = "other"
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -155,7 +157,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, least_support: int = 5, thresho
     for _ in range(rounds):
         believed = graph.join(belief, "instance", "left").withColumn("b", F.coalesce("belief", F.lit(0.0)))
         patterns = believed.groupBy("pattern").agg((F.sum(F.col("b") * F.col("w")) / F.sum("w")).alias("conf"), (F.sum("w") / (F.sum("w") + RARE)).alias("sure"))
-        weight = F.col("w") * F.col("sure")
+        weight = F.col("w") * F.col("sure") * F.when(F.col("pattern").startswith("<"), F.lit(FORM_WEIGHT)).otherwise(F.lit(1.0))
         scored = graph.where("NOT seed").join(patterns, "pattern").groupBy("instance").agg((F.sum(F.col("conf") * weight) / F.sum(weight)).alias("belief"), F.sum("w").alias("support"))
         new = scored.where((F.col("belief") >= threshold) & (F.col("support") >= least_support)).select("instance", "belief")
         belief = materialize(graph.where("seed").select("instance").distinct().withColumn("belief", F.lit(1.0)).unionByName(new))
