@@ -114,10 +114,7 @@ def test_unused_end_tables_are_not_joined(c):
 def test_paths_against_search(spark, seed, mode):
     c, edges = multigraph(spark, seed)
     for both, arrow in ((False, "->"), (True, "-")):
-        want = sorted((p[0][-1], len(p[1])) for p in walks(edges, 0, 0, 3, mode, both) if not (both and mode == "WALK" and False))
-        if both:  # a loop is met once per direction in the join, and once per orientation in the search
-            edges_ = edges
-            want = sorted((p[0][-1], len(p[1])) for p in walks(edges_, 0, 0, 3, mode, True))
+        want = sorted((p[0][-1], len(p[1])) for p in walks(edges, 0, 0, 3, mode, both))
         got = sorted(c.execute(f"MATCH (a:V {{id: 0}})-[k:E*{'' if mode == 'WALK' else mode} 0..3]{arrow}(b) RETURN b.id AS b, length(k) AS l").rows())
         assert got == want
 

@@ -867,6 +867,10 @@ class Lowering:
 
     def typed(self, e: Any, sc: Scope) -> tuple[Column, T.DataType]:
         c = self.ex(e, sc)
+        if isinstance(e, _Bound):
+            return c, e.type
+        if any(isinstance(x, _Bound) for x in A.walk(e)):  # an element inside a lambda: Catalyst alone knows its type
+            return c, T.NullType()
         return c, self.type_of(c, sc)
 
     def type_of(self, c: Column, sc: Scope) -> T.DataType:
@@ -934,11 +938,10 @@ class Lowering:
             hi = self.ex(e.hi, sc) if e.hi is not None else F.size(c)
             return F.slice(c, (lo + 1).cast("int"), F.greatest(F.lit(0), F.least(hi, F.size(c)) - lo).cast("int"))
         if isinstance(e, A.Quantifier):
-            of = self.ex(e.of, sc)
+            of, kind = self.typed(e.of, sc)
 
             def holds(x: Column) -> Column:
-                name = self.fresh("q")
-                return self.ex(_replaced(e.where, A.Var(e.var), _Bound(x)), Scope(sc.df, sc.env | {name: ValueB(name)}))
+                return self.ex(_replaced(e.where, A.Var(e.var), _Bound(x, kind.elementType)), sc)
 
             if e.kind == "all":
                 return F.forall(of, holds)
@@ -1118,8 +1121,8 @@ class Lowering:
 class _Bound:
     """A column in the place of a variable inside a lambda."""
 
-    def __init__(self, column: Column):
-        self.column = column
+    def __init__(self, column: Column, type_: T.DataType):
+        self.column, self.type = column, type_
 
 
 def _avg_distinct(e: Column) -> Column:
