@@ -137,3 +137,18 @@ def test_path_functions(c):
     got = rows(c, "MATCH (a:Person {id: 4})-[k:KNOWS*2..2]->(b:Person {id: 6}) RETURN properties(nodes(k), 'name') AS n, properties(rels(k), 'w') AS w, is_trail(k) AS t, is_acyclic(k) AS y")
     assert got == [(["dan", "eve", "fay"], [1.5, 0.5], True, True)]
     assert rows(c, "MATCH p = (a:Person {id: 5})-[e:KNOWS]->(b) RETURN length(p) AS l, label(nodes(p)[1]) AS n") == [(1, "Person")]
+
+
+@pytest.mark.parametrize("pattern", ["(a:V)-[:E]->(b)-[:E]->(c)", "(a:V)-[:E]-(b), (b)-[:E]->(c {k: 1}), (d)-[:E]->(b)", "(a:V)<-[e:E]-(b)-[f:E]->(c)"])
+def test_counting_by_weights_against_enumeration(spark, pattern):
+    c, _ = multigraph(spark, 9)
+    names = [n for n in "abcd" if f"({n}" in pattern]
+    where = " WHERE b.k < 2" + (" AND e.w > 2" if "[e" in pattern else "")
+    all_rows = c.execute(f"MATCH {pattern}{where} RETURN {', '.join(f'{n}.id AS {n}' for n in names)}").rows()
+    assert c.execute(f"MATCH {pattern}{where} RETURN count(*) AS n").rows() == [(len(all_rows),)]
+    by_b = {}
+    for r in all_rows:
+        by_b[r[names.index("b")]] = by_b.get(r[names.index("b")], 0) + 1
+    assert dict(c.execute(f"MATCH {pattern}{where} RETURN b.id AS b, count(*) AS n ORDER BY n DESC").rows()) == by_b
+    plan = c.execute(f"MATCH {pattern}{where} RETURN count(*) AS n").df._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(" in plan

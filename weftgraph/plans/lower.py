@@ -157,10 +157,135 @@ class Lowering:
         return sc.df.select(*[self.value(n, sc).alias(n) for n in sc.env])
 
     def single(self, q: A.Single, sc: Scope) -> Scope:
-        for clause in q.clauses:
+        clauses = q.clauses
+        if sc.df is None and len(clauses) > 1 and isinstance(clauses[0], A.Match) and isinstance(clauses[1], A.Projection):
+            if counted := self.counted(clauses[0], clauses[1]):
+                sc, clauses = self.project(counted[1], counted[0]), clauses[2:]
+        for clause in clauses:
             sc = self.clause(clause, sc)
         return sc
 
+    # ---- counting without enumerating
+
+    def counted(self, m: A.Match, p: A.Projection) -> tuple[Scope, A.Projection] | None:
+        """A tree pattern of which only matches are counted, by at most one node: weights instead of matches.
+
+        From the leaves to that node each edge table is summed up by its upper end, and the sums of a node's branches
+        are multiplied. No step makes more rows than an edge table has, whatever the number of matches. None if the
+        pattern is no tree, a condition spans two variables, or the projection reads more.
+        """
+        nodes = {n.var: n for path in m.paths for n in path.nodes}
+        edges = [(path.nodes[i].var, r, path.nodes[i + 1].var) for path in m.paths for i, r in enumerate(path.rels)]
+        rels = {r.var: r for _, r, _ in edges}
+        if m.optional or m.hint or p.star or p.distinct or len(edges) < 2 or len(edges) != len(nodes) - 1 or len(rels) != len(edges):
+            return None
+        if any(r.hops or r.props or a == b for a, r, b in edges) or any(path.var for path in m.paths):
+            return None
+        if any(variables(e) for n in nodes.values() for _, e in n.props) or sum(len(q.nodes) for q in m.paths) - len(m.paths) != len(edges):
+            return None
+        own: dict[str, list] = {}
+        for c in conjuncts(m.where):
+            vs = variables(c)
+            if len(vs) != 1 or any(isinstance(x, (A.Exists, A.CountSub)) for x in A.walk(c)) or not vs <= {*nodes, *rels}:
+                return None
+            own.setdefault(vs.pop(), []).append(c)
+        count = A.Call("coalesce", (A.Call("sum", (A.Var("_weight"),)), A.Literal(0)))
+
+        def rewritten(e):
+            if isinstance(e, A.Call) and e.name == "count" and not e.distinct and (e.star or isinstance(e.args[0], A.Var) and e.args[0].name in {*nodes, *rels}):
+                return count
+            if isinstance(e, tuple):
+                return tuple(rewritten(x) for x in e)
+            return type(e)(**{f: rewritten(getattr(e, f)) for f in e.__dataclass_fields__}) if hasattr(e, "__dataclass_fields__") else e
+
+        items = [A.Item(rewritten(i.expr), self.name_of(i), i.text) for i in p.items]
+        order = [(rewritten(e), down) for e, down in p.order]
+        read = {v for i in items for v in variables(i.expr)} | {v for e, _ in order for v in variables(e) if v not in [i.alias for i in items]}
+        read -= {"_weight"}
+        if not any(has_aggregate(i.expr) for i in items) or any(isinstance(x, A.Call) and x.name in AGGREGATES and x != count.args[0] for i in items for x in A.walk(i.expr)):
+            return None
+        if len(read) > 1 or not read <= set(nodes) or any(isinstance(x, (A.Exists, A.CountSub)) for i in items for x in A.walk(i.expr)):
+            return None
+        degree = {v: sum(v in (a, b) for a, _, b in edges) for v in nodes}
+        root = next(iter(read)) if read else max(nodes, key=lambda v: degree[v])
+        labels = self.infer_labels(m.paths, {})
+        if not all(labels.values()):
+            return None
+        seen: set[str] = set()
+
+        def table(v: str, keep: bool) -> tuple[DataFrame, NodeB] | None:
+            """The node's rows that pass its conditions; None if all do and none of its columns is wanted."""
+            b = self.node_binding(nodes[v], labels[v])
+            if not keep and not own.get(v) and not nodes[v].props:  # the triplets tell the label
+                return None
+            sc = Scope(node_table(self.graph, labels[v], b.c, b.props), {v: b})
+            sc = self.prop_filter(nodes[v], sc)
+            for c in own.get(v, []):
+                sc = Scope(sc.df.where(self.ex(c, sc)), sc.env)
+            return sc.df, b
+
+        def branches(v: str) -> list[DataFrame] | None:
+            """(k, l, w) for each edge away from the root: how many matches hang below each node."""
+            seen.add(v)
+            out = []
+            for a, r, b in edges:
+                if v not in (a, b) or (below := b if a == v else a) in seen:
+                    continue
+                direction = r.direction if a == v else {"out": "in", "in": "out", "both": "both"}[r.direction]
+                chosen = oriented(self.graph.triplets(r.types), labels[v], labels[below], direction)
+                c = self.fresh(r.var)
+                known = known_rel_props([t for t, _ in chosen])
+                wanted = self.uses.props(r.var, known) if r.var in own else ()
+                e = edge_table(self.graph, chosen, c, wanted, r.var in own)
+                types = tuple(dict.fromkeys(t.type for t, _ in chosen))
+                for cond in own.get(r.var, []):
+                    e = e.where(self.ex(cond, Scope(e, {r.var: RelB(c, types, (), wanted, known)})))
+                e = e.select(F.col(f"{c}__f").alias("k"), F.col(f"{c}__fl").alias("l"), F.col(f"{c}__t").alias("t"), F.col(f"{c}__tl").alias("tl"))
+                lower = weights(below)
+                if lower is not None:
+                    lower = lower.select(F.col("k").alias("t"), F.col("l").alias("tl"), "w")
+                    e = e.join(lower, ["t", "tl"] if len(labels[below]) > 1 else ["t"]).select("k", e["l"], "w") if len(labels[below]) > 1 else e.join(lower.drop("tl"), "t").select("k", "l", "w")
+                else:
+                    e = e.select("k", "l", F.lit(1).cast("long").alias("w"))
+                if any(t.fans_out(fwd) for t, fwd in chosen) or len(chosen) > 1:
+                    e = e.groupBy("k", "l").agg(F.sum("w").alias("w"))
+                out.append(e)
+            return out
+
+        def joined(df: DataFrame, v: str, parts: list[DataFrame], id_: str, label: str, w: Column) -> tuple[DataFrame, Column]:
+            for i, part in enumerate(parts):
+                k, l, name = self.fresh("k"), self.fresh("l"), self.fresh("w")
+                part = part.toDF(k, l, name)
+                on = df[id_] == part[k]
+                if len(labels[v]) > 1:
+                    on = on & (df[label] == part[l])
+                df, w = df.join(part, on).drop(k, l), F.col(name) if w is None else w * F.col(name)
+            return df, w
+
+        def weights(v: str) -> DataFrame | None:
+            parts = branches(v)
+            mine = table(v, False)
+            if mine is None and not parts:
+                return None
+            if mine is None:
+                first = parts[0].toDF("k", "l", "w0")
+                df, w = joined(first, v, parts[1:], "k", "l", F.col("w0"))
+                return df.select("k", "l", w.alias("w"))
+            df, b = mine
+            df, w = joined(df, v, parts, f"{b.c}__id", f"{b.c}__label", None)
+            return df.select(F.col(f"{b.c}__id").alias("k"), F.col(f"{b.c}__label").alias("l"), (F.lit(1).cast("long") if w is None else w).alias("w"))
+
+        parts = branches(root)
+        mine = table(root, bool(read))
+        env: dict = {"_weight": ValueB("_weight")}
+        if mine is None:
+            df, w = joined(parts[0].toDF("k", "l", "w0"), root, parts[1:], "k", "l", F.col("w0"))
+        else:
+            env[root] = mine[1]
+            df, w = joined(mine[0], root, parts, f"{mine[1].c}__id", f"{mine[1].c}__label", None)
+        kept = env[root].columns() if root in env else []
+        return Scope(df.select(*kept, w.alias("_weight")), env), replace(p, items=items, order=order)
+
     def clause(self, c: Any, sc: Scope) -> Scope:
         if isinstance(c, A.Match):
             return self.optional(c, sc) if c.optional else self.match(c, sc)
