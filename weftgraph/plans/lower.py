@@ -372,6 +372,13 @@ class Lowering:
             if left.var not in sc.env and right.var not in sc.env:
                 nodes = [n for e in edges for n in (e[0], e[2])]
                 start = min(nodes, key=lambda n: (hinted.get(n.var, 999), fixed.get(n.var, 9)))
+                near = [e for e in edges if start.var in (e[0].var, e[2].var) and e[0].var != e[2].var and e[1].hops is None]
+                if sc.df is None and near and not hinted:
+                    first = min(near, key=rank)
+                    if begun := self.from_edge(*first, labels):
+                        edges.remove(first)
+                        sc = begun
+                        continue
                 sc = self.scan(start, labels[start.var], sc)
                 continue
             edges.remove(best)
@@ -502,6 +509,26 @@ class Lowering:
         out = Scope(df, env)
         return self.prop_filter(right, out) if right.var not in sc.env else out
 
+    def from_edge(self, left: A.NodePattern, r: A.RelPattern, right: A.NodePattern, labels: dict) -> Scope | None:
+        """A start from an edge table, so that a node table is read only if more than its key is."""
+        chosen = oriented(self.graph.triplets(r.types), labels[left.var], labels[right.var], r.direction)
+        if not chosen or any(variables(e) for _, e in r.props):
+            return None
+        c, known = self.fresh(r.var), known_rel_props([t for t, _ in chosen])
+        wanted = {k for k, _ in r.props} | set(self.uses.props(r.var, known))
+        if not wanted <= set(known):
+            return None
+        props = tuple(p for p in known if p in wanted)
+        df = edge_table(self.graph, chosen, c, props, r.named)
+        for k, e in r.props:
+            df = df.where(F.col(f"{c}__p_{k}") == self.ex(e, Scope(None)))
+        env: dict = {}
+        df, env[left.var] = self.arrive(left, df, f"{c}__f", f"{c}__fl", labels[left.var])
+        df, env[right.var] = self.arrive(right, df, f"{c}__t", f"{c}__tl", labels[right.var])
+        if r.named:
+            env[r.var] = RelB(c, tuple(dict.fromkeys(t.type for t, _ in chosen)), tuple(dict.fromkeys((t.src, t.dst) for t, _ in chosen)), props, known)
+        return Scope(df, env)
+
     def arrive(self, n: A.NodePattern, df: DataFrame, id_: str, label: str, labels: tuple[str, ...]) -> tuple[DataFrame, NodeB]:
         """Binds an edge's end: a join with the node tables only if more than the key is read of it."""
         b = self.node_binding(n, labels)
