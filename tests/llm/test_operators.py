@@ -340,7 +340,7 @@ def test_levenshtein_automaton_against_distances():
             w[i : i + r.randrange(2)] = r.choice(["", "a", "t", "zz"])
         word = "".join(w)
         want = {t for t in terms if distance(word, t) <= 1}
-        assert {t for t, _ in trie.within(word)} == want
+        assert set(trie.within(word)) == want
         assert trie.near(word) or not want
 
 

@@ -30,47 +30,83 @@ WINDOW = 4
 FEATURES = 6
 
 
+def _trie(terms) -> dict:
+    root: dict = {}
+    for term in terms:
+        node = root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = term
+    return root
+
+
+def _intersect(node: dict, state: tuple, word: str, most: int, found: set) -> None:
+    """Terms below ``node`` that the Levenshtein automaton of ``word``, in ``state``, accepts within ``most`` edits.
+
+    A state holds, for each prefix of the word, the edits between it and the path so far; paths on which all are
+    beyond ``most`` are left.
+    """
+    stack = [(node, state)]
+    while stack:
+        node, state = stack.pop()
+        for c, child in node.items():
+            if c == "":
+                if state[-1] <= most:
+                    found.add(child)
+                continue
+            after = _step(state, c, word)
+            if min(after) <= most:
+                stack.append((child, after))
+
+
+def _step(state: tuple, c: str, word: str) -> tuple:
+    after = [state[0] + 1]
+    for i, w in enumerate(word):
+        after.append(min(after[i] + 1, state[i + 1] + 1, state[i] + (w != c)))
+    return tuple(after)
+
+
 class Trie:
-    """Lexicon terms with weights; ``within`` runs the Levenshtein automaton of a word along its paths."""
+    """Lexicon terms with weights, as a trie and as a trie of the reversed terms.
+
+    One edit leaves the first or the last half of a term untouched. So the automaton is entered only below the word's
+    own first half in the trie, and below its reversed last half in the reversed trie; a word with neither is no hit.
+    """
 
     def __init__(self, weights: dict[str, float]):
-        self.weights, self.root = weights, {}
-        for term in weights:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[""] = term
-        # one edit leaves the first or the last half of a term untouched: a quick no for most words
-        self.heads = {t[: (len(t) + 1) // 2] for t in weights}
-        self.tails = {t[(len(t) + 1) // 2 :] for t in weights}
+        self.weights = weights
+        self.root, self.reversed = _trie(weights), _trie(t[::-1] for t in weights)
+        self.heads = {(len(t), t[: (len(t) + 1) // 2]) for t in weights}
+        self.tails = {(len(t), t[(len(t) + 1) // 2 :]) for t in weights}
         self.lengths = sorted({len(t) for t in weights})
 
+    def _entries(self, word: str) -> tuple[set[str], set[str]]:
+        heads, tails = set(), set()
+        for size in range(max(1, len(word) - 1), len(word) + 2):
+            half = (size + 1) // 2
+            if (size, word[:half]) in self.heads:
+                heads.add(word[:half])
+            tail = word[len(word) - (size - half) :]
+            if (size, tail) in self.tails:
+                tails.add(tail)
+        return heads, tails
+
     def near(self, word: str) -> bool:
-        n = len(word)
-        for size in self.lengths:
-            if abs(size - n) <= 1:
-                half = (size + 1) // 2
-                if word[:half] in self.heads or word[half - size :] in self.tails:
-                    return True
-        return False
-
-    def within(self, word: str, most: int = 1) -> list[tuple[str, int]]:
-        """(term, edits) for the terms within ``most`` insertions, deletions or substitutions of ``word``."""
-        found, start = [], tuple(range(len(word) + 1))
-        stack = [(self.root, start)]
-        while stack:
-            node, state = stack.pop()
-            for c, child in node.items():
-                if c == "":
-                    if state[-1] <= most:
-                        found.append((child, state[-1]))
-                    continue
-                after = [state[0] + 1]
-                for i, w in enumerate(word):
-                    after.append(min(after[i] + 1, state[i + 1] + 1, state[i] + (w != c)))
-                if min(after) <= most:
-                    stack.append((child, tuple(after)))
-        return found
+        return any(self._entries(word))
+
+    def within(self, word: str) -> list[str]:
+        """The terms within one insertion, deletion or substitution of ``word``."""
+        heads, tails = self._entries(word)
+        found: set[str] = set()
+        for root, text, entries, turn in ((self.root, word, heads, 1), (self.reversed, word[::-1], {t[::-1] for t in tails}, -1)):
+            hits: set[str] = set()
+            for entry in entries:
+                node, state = root, tuple(range(len(text) + 1))
+                for c in entry:
+                    node, state = node[c], _step(state, c, text)
+                _intersect(node, state, text, 1, hits)
+            found |= {t[::turn] for t in hits}
+        return sorted(found)
 
 
 @dataclass
@@ -96,7 +132,7 @@ class ToxicityModel:
         if word in self.weights:
             got = self.weights[word], False
         elif len(word) >= self.least_fuzzy and word not in self.clean and self.trie.near(word):
-            terms = [t for t, _ in self.trie.within(word) if len(t) >= self.least_fuzzy]
+            terms = [t for t in self.trie.within(word) if len(t) >= self.least_fuzzy]
             if terms:
                 got = max(self.weights[t] for t in terms), True
         if len(self.known) > 500_000:
@@ -157,7 +193,7 @@ def _word_lists(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(((w, y, n) for (w, y), n in counts.items()), schema, most_rows=50_000)
 
 
-def fit_toxicity(df: DataFrame, labels: DataFrame, fit_rows: int = 8000, most_terms: int = 4000, least_texts: int = 3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(df: DataFrame, labels: DataFrame, fit_rows: int = 8000, most_terms: int = 4000, least_texts: int = 3, least_gain: float = 15.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fits on at most ``fit_rows`` different texts of each label; keep held-out rows out of ``labels``.
 
     The lexicon has at most ``most_terms`` words. With no toxic texts the model has no terms and scores low.
@@ -174,10 +210,10 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, fit_rows: int = 8000, most_te
         counts.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c"))
     )
     odds = F.log((F.col("t") + 0.1) / (n1 + 0.2)) - F.log((F.col("c") + 0.1) / (n0 + 0.2))
-    # chance: expected toxic texts of a word under independence, against those seen (log-likelihood ratio)
+    # gain: expected toxic texts of a word under independence, against those seen (log-likelihood ratio)
     share = n1 / max(1, n1 + n0)
     gain = 2 * (F.col("t") * F.log(F.greatest(F.col("t"), F.lit(0.5)) / ((F.col("t") + F.col("c")) * share)) + F.col("c") * F.log(F.greatest(F.col("c"), F.lit(0.5)) / ((F.col("t") + F.col("c")) * (1 - share))))
-    terms = by_word.where((F.col("t") >= least_texts) & (odds > 3.0)).withColumn("odds", odds).withColumn("gain", gain).where("gain > 15").orderBy(F.desc("gain"), "word").limit(most_terms)
+    terms = by_word.where((F.col("t") >= least_texts) & (odds > 3.0)).withColumn("odds", odds).withColumn("gain", gain).where(F.col("gain") > least_gain).orderBy(F.desc("gain"), "word").limit(most_terms)
     found = terms.collect()  # at most most_terms
     top = max((r["odds"] for r in found), default=1.0)
     weights = {r["word"]: round(min(1.0, r["gain"] / 60) * r["odds"] / top, 4) for r in found}
