@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chroma, langid, licenses, packing, pii, quality, resample, simhash, toxicity
-from .common import digest_remainder, materialize, session_for_texts, table
+from .common import digest_remainder, fold_sample, materialize, session_for_texts, table
 
+#: The bound of op3's sample of labelled rows.
+TARGET_TEXTS = 20_000
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -26,11 +28,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: the texts labelled quality 1. The label table is joined by id, the smaller side as the planner sees it."""
+    """Target: TARGET_TEXTS of the texts labelled quality 1, those with the least hashes of id. Their ids are broadcast,
+    bounded by that number, so whole texts are not shuffled to meet their labels."""
     session_for_texts(spark)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("_target", F.lit(True))
-    return resample.resample(documents.join(good, "doc_id", "left"), share=0.8)
+    good = fold_sample(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct(), ["doc_id"], TARGET_TEXTS)
+    return resample.resample(documents.join(F.broadcast(good.withColumn("_target", F.lit(True))), "doc_id", "left"), share=0.8)
 
 
 def op4_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
