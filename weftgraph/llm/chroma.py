@@ -3,7 +3,8 @@
 Samples become frames, frames become the energies of the twelve pitch classes. Sixteen filters, rectangles whose sums
 an integral image gives in constant time, compare parts of that image around each frame; each is quantized to two
 Gray-coded bits, and the 32 bits are one packed integer per frame. Two recordings are aligned by the histogram of
-offsets at which their integers are equal, and judged by the share of differing bits over the overlap.
+offsets at which two integers, APART frames from each other, are both equal, and judged by the share of differing bits
+over the overlap. One integer alone is equal by chance so often that votes would grow with queries times recordings.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -27,6 +28,8 @@ FILTERS = [(k % 6, (5 * k) % 8, 2 + k % 3 if k % 6 != 4 else 3, (2, 4, 6, 8)[k %
 STEPS = (-0.25, 0.0, 0.25)
 GRAY = (0, 1, 3, 2)
 WIDEST = max(f[3] for f in FILTERS)
+#: Frames between the two integers of a key: as many as share no samples.
+APART = FRAME // HOP
 
 
 def read_wav(data: bytes) -> tuple[np.ndarray, int]:
@@ -106,10 +109,16 @@ def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
     return out
 
 
+def keys(fp: np.ndarray) -> np.ndarray:
+    """Two integers APART frames from each other, as one."""
+    return fp[:-APART].astype(np.uint64) << np.uint64(32) | fp[APART:] if len(fp) > APART else np.zeros(0, np.uint64)
+
+
 def best_offset(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
-    """(offset, equal integers, bit error rate): a[i] lies over b[i + offset]; None without an equal integer."""
-    order = np.argsort(b, kind="stable")
-    lo, hi = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    """(offset, equal keys, bit error rate): a[i] lies over b[i + offset]; None without an equal key."""
+    ka, kb = keys(a), keys(b)
+    order = np.argsort(kb, kind="stable")
+    lo, hi = np.searchsorted(kb[order], ka, "left"), np.searchsorted(kb[order], ka, "right")
     votes: dict[int, int] = {}
     for i in np.flatnonzero(hi > lo).tolist():
         for j in order[lo[i] : hi[i]].tolist():
@@ -144,12 +153,17 @@ def align_recordings(fps: DataFrame, is_query, most_error: float = 0.2, least_eq
 
     Equal fingerprints are one class, named by its least id. The classes that hold a query are matched with all other
     classes; ``matches`` has (class_id, offset, equal, error) by class_id, for query classes' query rows only. Runs of
-    an equal integer inside a recording vote once, at their start, so silence and held notes do not multiply votes.
+    an equal key inside a recording vote once, at their start, so silence and held notes do not multiply votes.
     """
     rows = fps.withColumn("is_query", is_query)
     classes = materialize(rows.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp"), F.max("is_query").alias("asks")))
-    starts = F.filter(F.transform("fp", lambda v, i: F.struct(v.alias("v"), i.alias("i"), ((i == 0) | (F.get(F.col("fp"), i - 1) != v)).alias("s"))), lambda x: x["s"])
-    postings = classes.select("class_id", "asks", F.explode(starts).alias("p")).select("class_id", "asks", F.col("p.v").alias("v"), F.col("p.i").alias("i"))
+
+    def key(v: Column, i: Column) -> Column:
+        return F.shiftleft(v.cast("long"), 32).bitwiseOR(F.get(F.col("fp"), i + APART).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    keyed = classes.select("class_id", "asks", F.transform("fp", key).alias("keys"))  # null where no frame is that far on
+    starts = F.filter(F.transform("keys", lambda v, i: F.struct(v.alias("v"), i.alias("i"), ((i == 0) | (F.get(F.col("keys"), i - 1) != v)).alias("s"))), lambda x: x["s"] & x["v"].isNotNull())
+    postings = keyed.select("class_id", "asks", F.explode(starts).alias("p")).select("class_id", "asks", F.col("p.v").alias("v"), F.col("p.i").alias("i"))
     q = postings.where("asks").select(F.col("class_id").alias("a"), "v", F.col("i").alias("ai"))
     r = postings.select(F.col("class_id").alias("b"), "v", F.col("i").alias("bi"))
     votes = q.join(r, "v").where("a <> b").groupBy("a", "b", (F.col("bi") - F.col("ai")).alias("offset")).agg(F.count(F.lit(1)).alias("equal"))
