@@ -80,6 +80,26 @@ def test_chroma_integral_filters_and_empty_table(spark):
     assert chroma.align_recordings(fps, F.col("id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.15])
+def test_chroma_recall_of_noisy_copies(spark, noise):
+    """Against the best of all offsets: recordings within most_error are found, also where few frames stay equal."""
+    r = np.random.default_rng(int(100 * noise))
+    vectors = [[float(x) for x in v] for v in r.standard_normal((120, 64))]
+    copies = [[float(x) for x in np.array(v) + noise * r.standard_normal(64)] for v in vectors]
+    df = spark.createDataFrame(list(enumerate(vectors + copies)), "i long, v array<double>")
+    fps = chroma.fingerprint_media(df, "v", "i", chroma.render_vector).cache()
+    fp = {x["id"]: np.array(x["fp"], np.int32).view(np.uint32) for x in fps.collect()}
+
+    def error(a, b, o):
+        x, y = a[max(0, -o) :], b[max(0, o) :]
+        n = min(len(x), len(y))
+        return np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n)
+
+    want = {i for i in range(120) if min(error(fp[i], fp[i + 120], o) for o in range(8 - len(fp[i]), len(fp[i]) - 7)) <= 0.2}
+    got = {x["id"] for x in chroma.align_recordings(fps, F.col("id") < 120).collect() if x["id"] + 120 in {m["class_id"] for m in x["matches"]}}
+    assert len(want) >= 20 and len(want & got) >= 0.9 * len(want)
+
+
 # ---- 2
 
 

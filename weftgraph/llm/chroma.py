@@ -3,8 +3,9 @@
 Samples become frames, frames become the energies of the twelve pitch classes. Sixteen filters, rectangles whose sums
 an integral image gives in constant time, compare parts of that image around each frame; each is quantized to two
 Gray-coded bits, and the 32 bits are one packed integer per frame. Two recordings are aligned by the histogram of
-offsets at which two integers, APART frames from each other, are both equal, and judged by the share of differing bits
-over the overlap. One integer alone is equal by chance so often that votes would grow with queries times recordings.
+offsets at which their keys are equal, and judged by the share of differing bits over the overlap. A key holds the even
+or the odd filters of two integers APART frames from each other, so noise that moves filters of one half leaves the
+other half's vote.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ FILTERS = [(k % 6, (5 * k) % 8, 2 + k % 3 if k % 6 != 4 else 3, (2, 4, 6, 8)[k %
 STEPS = (-0.25, 0.0, 0.25)
 GRAY = (0, 1, 3, 2)
 WIDEST = max(f[3] for f in FILTERS)
-#: Frames between the two integers of a key: as many as share no samples.
-APART = FRAME // HOP
+#: Frames between the two integers of a key: at 4, and as one key of whole integers, noisy copies within most_error were lost.
+APART = 3
 
 
 def read_wav(data: bytes) -> tuple[np.ndarray, int]:
@@ -109,20 +110,26 @@ def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
     return out
 
 
-def keys(fp: np.ndarray) -> np.ndarray:
-    """Two integers APART frames from each other, as one."""
-    return fp[:-APART].astype(np.uint64) << np.uint64(32) | fp[APART:] if len(fp) > APART else np.zeros(0, np.uint64)
+#: Bits of the even filters; those of the odd ones are two places lower.
+HALF = 0xCCCCCCCC
+
+
+def keys(fp: np.ndarray) -> list[np.ndarray]:
+    """For the even and the odd filters, their bits in two integers APART frames from each other, as one."""
+    v, w = (fp[:-APART], fp[APART:]) if len(fp) > APART else (fp[:0], fp[:0])
+    half, two = np.uint32(HALF), np.uint32(2)
+    return [v & half | (w & half) >> two, (v << two) & half | w & ~half]
 
 
 def best_offset(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
     """(offset, equal keys, bit error rate): a[i] lies over b[i + offset]; None without an equal key."""
-    ka, kb = keys(a), keys(b)
-    order = np.argsort(kb, kind="stable")
-    lo, hi = np.searchsorted(kb[order], ka, "left"), np.searchsorted(kb[order], ka, "right")
     votes: dict[int, int] = {}
-    for i in np.flatnonzero(hi > lo).tolist():
-        for j in order[lo[i] : hi[i]].tolist():
-            votes[j - i] = votes.get(j - i, 0) + 1
+    for ka, kb in zip(keys(a), keys(b), strict=True):
+        order = np.argsort(kb, kind="stable")
+        lo, hi = np.searchsorted(kb[order], ka, "left"), np.searchsorted(kb[order], ka, "right")
+        for i in np.flatnonzero(hi > lo).tolist():
+            for j in order[lo[i] : hi[i]].tolist():
+                votes[j - i] = votes.get(j - i, 0) + 1
     if not votes:
         return None
     offset, count = min(votes.items(), key=lambda v: (-v[1], abs(v[0]), v[0]))
@@ -158,12 +165,21 @@ def align_recordings(fps: DataFrame, is_query, most_error: float = 0.2, least_eq
     rows = fps.withColumn("is_query", is_query)
     classes = materialize(rows.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp"), F.max("is_query").alias("asks")))
 
-    def key(v: Column, i: Column) -> Column:
-        return F.shiftleft(v.cast("long"), 32).bitwiseOR(F.get(F.col("fp"), i + APART).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    def postings_of(half: int) -> Column:
+        """(v, i) at each start of a run of equal keys of the half; v's bit 32 tells the half."""
+
+        def key(v: Column, i: Column) -> Column:
+            v, w = v.cast("long"), F.get(F.col("fp"), i + APART).cast("long")
+            own, other = (v.bitwiseAND(F.lit(HALF)), F.shiftright(w.bitwiseAND(F.lit(HALF)), 2)) if half == 0 else (F.shiftleft(v, 2).bitwiseAND(F.lit(HALF)), w.bitwiseAND(F.lit(HALF >> 2)))
+            return own.bitwiseOR(other).bitwiseOR(F.lit(half << 32))
+
+        def starts(k: Column) -> Column:  # null where no frame is that far on
+            posted = F.transform(k, lambda v, i: F.struct(v.alias("v"), i.alias("i"), ((i == 0) | (F.get(k, i - 1) != v)).alias("s")))
+            return F.transform(F.filter(posted, lambda x: x["s"] & x["v"].isNotNull()), lambda x: F.struct(x["v"].alias("v"), x["i"].alias("i")))
+
+        return F.transform(F.array(F.transform("fp", key)), starts)[0]
 
-    keyed = classes.select("class_id", "asks", F.transform("fp", key).alias("keys"))  # null where no frame is that far on
-    starts = F.filter(F.transform("keys", lambda v, i: F.struct(v.alias("v"), i.alias("i"), ((i == 0) | (F.get(F.col("keys"), i - 1) != v)).alias("s"))), lambda x: x["s"] & x["v"].isNotNull())
-    postings = keyed.select("class_id", "asks", F.explode(starts).alias("p")).select("class_id", "asks", F.col("p.v").alias("v"), F.col("p.i").alias("i"))
+    postings = classes.select("class_id", "asks", F.explode(F.concat(postings_of(0), postings_of(1))).alias("p")).select("class_id", "asks", F.col("p.v").alias("v"), F.col("p.i").alias("i"))
     q = postings.where("asks").select(F.col("class_id").alias("a"), "v", F.col("i").alias("ai"))
     r = postings.select(F.col("class_id").alias("b"), "v", F.col("i").alias("bi"))
     votes = q.join(r, "v").where("a <> b").groupBy("a", "b", (F.col("bi") - F.col("ai")).alias("offset")).agg(F.count(F.lit(1)).alias("equal"))
