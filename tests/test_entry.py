@@ -29,3 +29,11 @@ def test_against_sql(spark, name):
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)
     assert plain(got.select(*[f"`{n}`" for n in names]).collect()) == plain(want.fetchall())
+
+
+WHOLE = ["expand_edge_props", "expand_any_type", "self_join_neq", "cast_string", "cast_temporal", "date_part_all", "date_plus_interval", "ts_minus_ts_days", "str_upper_lower_reverse", "path_long_chain"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_tables_against_sql(spark, name):
+    test_against_sql(spark, f"{name}_whole")

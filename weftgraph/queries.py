@@ -427,6 +427,59 @@ q(
     f"{walks(1, 8)} SELECT CAST(coalesce(min(len), -1) AS BIGINT) AS len FROM walks WHERE e = 24 AND len >= 1",
 )
 
+# ---- whole tables: the queries above that read a range of ids, without it
+
+q(
+    "expand_edge_props_whole",
+    "MATCH (o:Orders)-[e:CONTAINS]->(p:Part) RETURN o.o_orderkey AS o, p.p_partkey AS p, e.quantity AS qty, e.returnflag AS flag",
+    "SELECT l_orderkey AS o, l_partkey AS p, l_quantity AS qty, l_returnflag AS flag FROM lineitem",
+)
+q(
+    "expand_any_type_whole",
+    "MATCH (o:Orders)-[e]->(x) RETURN label(e) AS t, label(x) AS l, count(*) AS cnt",
+    "SELECT 'CONTAINS' AS t, 'Part' AS l, count(*) AS cnt FROM lineitem UNION ALL SELECT 'SHIPPED_BY', 'Supplier', count(*) FROM lineitem",
+)
+q(
+    "self_join_neq_whole",
+    "MATCH (p1:Part)<-[:CONTAINS]-(o:Orders)-[:CONTAINS]->(p2:Part) WHERE id(p1) <> id(p2) RETURN count(*) AS cnt",
+    "SELECT count(*) AS cnt FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey <> b.l_partkey",
+)
+q(
+    "cast_string_whole",
+    "MATCH (p:Part) RETURN CAST(p.p_partkey AS STRING) AS s, CAST('17', 'INT64') + p.p_partkey AS i",
+    "SELECT CAST(p_partkey AS VARCHAR) AS s, 17 + p_partkey AS i FROM part",
+)
+q(
+    "cast_temporal_whole",
+    "MATCH (o:Orders) RETURN o.o_orderkey AS o, CAST(o.o_orderdate AS DATE) AS d, DATE('1995-03-05') AS c",
+    "SELECT o_orderkey AS o, CAST(o_orderdate AS DATE) AS d, DATE '1995-03-05' AS c FROM orders",
+)
+q(
+    "date_part_all_whole",
+    "MATCH (e:Event) RETURN e.event_id AS e, date_part('year', e.ts) AS y, date_part('month', e.ts) AS mo, date_part('day', e.ts) AS d, date_part('hour', e.ts) AS h, date_part('minute', e.ts) AS mi, date_part('second', e.ts) AS s",
+    "SELECT event_id AS e, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s FROM events",
+)
+q(
+    "date_plus_interval_whole",
+    "MATCH (o:Orders) RETURN o.o_orderkey AS o, o.o_orderdate + INTERVAL('3 days 4 hours') AS a, o.o_orderdate - INTERVAL('1 year 2 months') AS b",
+    "SELECT o_orderkey AS o, o_orderdate + INTERVAL 3 DAY + INTERVAL 4 HOUR AS a, o_orderdate - INTERVAL 14 MONTH AS b FROM orders",
+)
+q(
+    "ts_minus_ts_days_whole",
+    "MATCH (o:Orders)-[e:CONTAINS]->(:Part) WHERE e.shipdate - o.o_orderdate > INTERVAL('60 days') RETURN count(*) AS cnt",
+    "SELECT count(*) AS cnt FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate - o_orderdate > INTERVAL 60 DAY",
+)
+q(
+    "str_upper_lower_reverse_whole",
+    "MATCH (p:Part) RETURN upper(p.p_name) AS u, lower(p.p_brand) AS l, reverse(p.p_name) AS r",
+    "SELECT upper(p_name) AS u, lower(p_brand) AS l, reverse(p_name) AS r FROM part",
+)
+q(
+    "path_long_chain_whole",
+    "MATCH (u:User)-[:DID]->(e:Event)-[k:NEXT*1..5]->(f:Event) RETURN u.user_id AS u, length(k) AS len, count(*) AS cnt",
+    f"WITH RECURSIVE {NEXT}, w(u, e, len) AS (SELECT user_id, event_id, 0 FROM events UNION ALL SELECT u, b, len + 1 FROM w JOIN nxt ON a = e WHERE len < 5) SELECT u, CAST(len AS BIGINT) AS len, count(*) AS cnt FROM w WHERE len >= 1 GROUP BY 1, 2",
+)
+
 
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
