@@ -423,6 +423,19 @@ def test_license_scan_against_every_window():
         assert any(m[0] == "A" for m in t.scan(" ".join(words))) == (best >= 0.8)
 
 
+@pytest.mark.parametrize("inserted", [0, 12, 20, 30, 40])
+def test_license_copies_with_inserted_words(inserted):
+    t = licenses.Templates(licenses.TEMPLATES)
+    words = licenses.TEMPLATES["MIT-text"].split()
+    for shift in range(22):
+        copy = " ".join([*words[:24], *(f"i{i}" for i in range(inserted)), *words[24:]])
+        text = " ".join(f"p{i}" for i in range(40 + shift)) + f" {copy} " + " ".join(f"q{i}" for i in range(50))
+        found = [m for m in t.scan(text) if m[0] == "MIT-text"]
+        assert len(found) == 1 and found[0][1] >= 0.9 and found[0][2] == text.index(copy) and copy.startswith(text[found[0][2] : found[0][3]])
+        assert [m[0] for m in t.scan(f"{text} {text}")].count("MIT-text") == 2
+    assert [m[0] for m in t.scan(f"{copy} {copy}")].count("MIT-text") == 2
+
+
 # ---- 8
 
 

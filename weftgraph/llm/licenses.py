@@ -1,16 +1,18 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact containment verifies.
 
 Texts and templates become shingles of five lower-case words. For each size m of template in shingles, windows of
-m + t - 1 shingles are laid every t = max(1, m // 2), so one of them covers any copy whole. A copy that keeps
+SPAN m + t - 1 shingles are laid every t = max(1, m // 2), so one of them covers any copy whole that spans at most
+SPAN m shingles, inserted words included; longer ones are no copies. A copy that keeps
 ``least`` of a template's shingles then has a Jaccard similarity of at least ``worst_similarity`` to its window, and
 ``bands`` bands of one row collide with probability 1 - (1 - s) ** bands, 0.9999 or more. A text none of whose
-shingles is a template's minimum in some band cannot collide, so most texts end at that test. For each collision
-the window's shingles are compared as words with the template's.
+shingles is a template's minimum in some band cannot collide, so most texts end at that test. Around each collision
+the shingles of the window and of as many to both sides are compared as words with the template's.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import splitmix, worker_state
 
 SHINGLE = 5
+#: The longest copy, as a multiple of its template's shingles.
+SPAN = 2
 _TOKEN = re.compile(r"\w+")
 
 #: Wording of common notices.
@@ -43,7 +47,7 @@ def _words(text: str) -> list[str]:
 
 
 class Templates:
-    def __init__(self, templates: dict[str, str], least: float = 0.8, bands: int = 24, seed: int = 11):
+    def __init__(self, templates: dict[str, str], least: float = 0.8, bands: int = 28, seed: int = 11):
         self.least, self.bands = least, bands
         rng = np.random.default_rng(seed)
         self.a = rng.integers(1, 2**63, bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -55,7 +59,7 @@ class Templates:
             words = _words(text)
             if len(words) < SHINGLE:
                 raise ValueError(f"{name} has fewer than {SHINGLE} words")
-            grams = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+            grams = Counter(tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1))
             hashes = np.unique(self.hashes(words))
             signature = np.array([self._permuted(hashes, k).min() for k in range(bands)])
             minima += [hashes[self._permuted(hashes, k).argmin()] for k in range(bands)]
@@ -72,7 +76,7 @@ class Templates:
 
     def worst_similarity(self, m: int) -> float:
         kept = self.least * m
-        return kept / (m + self.stride(m) - 1 + m - kept)
+        return kept / (SPAN * m + self.stride(m) - 1 + m - kept)
 
     def collision_probability(self, m: int) -> float:
         return 1 - (1 - self.worst_similarity(m)) ** self.bands
@@ -90,6 +94,33 @@ class Templates:
             out = splitmix(out * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n])
         return out
 
+    def _copies(self, words: list[str], lo: int, hi: int, grams: dict[tuple, int]) -> list[tuple[int, int, int]]:
+        """(different shingles, first, last) of the copies in shingles lo to hi, one after the other."""
+        at = [(i, g) for i in range(lo, hi) if (g := tuple(words[i : i + SHINGLE])) in grams]
+        need, most, out, first, k = self.least * len(grams), SPAN * sum(grams.values()), [], 0, 0
+        seen: Counter = Counter()
+        while k < len(at):
+            i, g = at[k]
+            seen[g] += 1
+            while i - at[first][0] >= most or seen[at[first][1]] > 1 and first < k:
+                seen[at[first][1]] -= 1
+                first += 1
+            n = sum(c > 0 for c in seen.values()) if seen[g] == 1 else 0
+            k += 1
+            if n >= need:
+                last = k - 1
+                for j in range(k, len(at)):  # to the copy's end, or where a next one begins
+                    i, g = at[j]
+                    if i - at[first][0] >= most or seen[g] >= grams[g]:
+                        break
+                    n += seen[g] == 0
+                    seen[g] += 1
+                    last = j
+                out.append((n, at[first][0], at[last][0]))
+                first = k = last + 1
+                seen.clear()
+        return out
+
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
         """(license, containment, start, end) in code points, by start; one for each separate place of a template."""
         words = _words(text or "")
@@ -104,7 +135,7 @@ class Templates:
         found = []
         for m, templates in self.by_size.items():
             t = self.stride(m)
-            width = min(m + t - 1, len(s))
+            width = min(SPAN * m + t - 1, len(s))
             starts = np.arange(0, max(1, len(s) - width + t), t)
             ends = np.minimum(starts + width, len(s))
             signatures = [np.lib.stride_tricks.sliding_window_view(np.append(p, np.full(width, np.uint64(2**64 - 1))), width)[starts].min(axis=1) for p in permuted]
@@ -112,20 +143,14 @@ class Templates:
                 hit = np.zeros(len(starts), bool)
                 for k in range(self.bands):
                     hit |= signatures[k] == signature[k]
+                done = 0
                 for w in np.flatnonzero(hit).tolist():
-                    lo, hi = int(starts[w]), int(ends[w])
-                    in_it = [i for i in range(lo, hi) if tuple(words[i : i + SHINGLE]) in grams]
-                    share = len({tuple(words[i : i + SHINGLE]) for i in in_it}) / len(grams)
-                    if share >= self.least:
-                        found.append((name, round(share, 6), places[in_it[0]][0], places[in_it[-1] + SHINGLE - 1][1]))
-        best: list[tuple[str, float, int, int]] = []
-        for f in sorted(found, key=lambda f: (f[0], f[2], -f[1], f[3])):
-            if best and best[-1][0] == f[0] and f[2] < best[-1][3]:  # windows overlap: one place
-                if f[1] > best[-1][1]:
-                    best[-1] = f
-            else:
-                best.append(f)
-        return sorted(best, key=lambda f: (f[2], f[0]))
+                    lo, hi = max(done, int(starts[w]) - width), min(len(s), int(ends[w]) + width)
+                    # one that begins after the window may end beyond hi; its own windows find it
+                    if copies := [c for c in self._copies(words, lo, hi, grams) if c[1] < int(ends[w])]:
+                        found += [(name, round(n / len(grams), 6), places[i][0], places[j + SHINGLE - 1][1]) for n, i, j in copies]
+                        done = copies[-1][2] + 1
+        return sorted(found, key=lambda f: (f[2], f[0]))
 
 
 def scan_licenses(df: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
