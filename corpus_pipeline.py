@@ -34,11 +34,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the least doc_id, and of its repeated rows one."""
+    """One row of each group of near duplicates: that with the least doc_id, a null one last, then with the least hash of the row.
+
+    Groups are of rows, told apart by all their columns: a doc_id that is null or repeated with another text loses none.
+    """
     session_for_texts(spark)
-    found = simhash.near_duplicates(docs)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    uid = "_row"
+    rows = docs.withColumn(uid, F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+    found = simhash.near_duplicates(rows, id_col=uid).select(F.col("doc_id").alias(uid), "component_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", uid)
+    first = rows.select("doc_id", uid).join(found, uid).groupBy("component_id").agg(F.min(order).alias("o")).select(F.col(f"o.{uid}").alias(uid))
+    return rows.join(first, uid, "left_semi").dropDuplicates([uid]).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

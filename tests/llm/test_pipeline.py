@@ -54,3 +54,12 @@ def test_run_and_empty_table(spark, folder, tmp_path):
     spark.createDataFrame([], COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert quality.P == 5
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    rows = [(None, prose(1)), (None, prose(2)), (None, prose(2)), (None, prose(3)), (9, prose(3)), (7, prose(4)), (7, prose(5)), (5, prose(4)), (7, prose(4)), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(None, prose(1)), (None, prose(2)), (9, prose(3)), (7, prose(5)), (5, prose(4)), (None, None)]
+    assert sorted(map(repr, map(tuple, got.select("doc_id", "text").collect()))) == sorted(map(repr, want))
