@@ -467,20 +467,91 @@ def test_base_spans_against_the_patterns():
     assert pii.base_spans("a" * 300_000 + "1" * 300_000) == []
 
 
-def test_bootstrapping_finds_unseen_identifiers(spark):
+def test_base_spans_of_very_long_runs_and_zeros():
+    assert pii.base_spans("0" * 5000 + "1.1.1.1") == [("ip", 0, 5007)] and pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert pii.base_spans("9" * 5000 + ".1.1.1") == []
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000 + " a1b2", "1" + "x" * 1_000_000, "a1 " * 330_000, "@" * 1_000_000, "x=" * 500_000 + "1", "." * 999_999 + "1", "+1(" * 330_000, "1." * 500_000])
+def test_a_million_characters_are_scanned_in_a_few_seconds(text):
+    import time
+
+    start = time.process_time()
+    found = pii.candidates(text, pii.base_spans(text))
+    pii.mask(text, [(k or "other", s, e) for k, s, e, _, _ in found])
+    assert time.process_time() - start < 15
+
+
+def brute_bootstrap(texts, rounds=3, threshold=0.6):
+    """The same graph in plain loops: documents to the places found."""
+    places = [(i, *c) for i, t in enumerate(texts) for c in pii.candidates(t or "", pii.base_spans(t or ""))]
+    seeds = {x[4] for x in places if x[1]}
+    seed_edges = {(p, x[4]) for x in places if x[1] for p in x[5]}
+    edges = {(p, x[4]) for x in places for p in x[5]}
+    known, sure = {}, {}
+    for _ in range(rounds):
+        of = {}
+        for p, i in edges:
+            of.setdefault(p, []).append(max(1.0 if (p, i) in seed_edges else 0.0, known.get(i, 0.0)))
+        sure = {p: sum(sorted(b)) / (len(b) + pii.DOUBT) for p, b in of.items()}
+        sure = {p: c for p, c in sure.items() if c >= threshold}
+        known = {}
+        for p, i in edges - seed_edges:
+            if p in sure:
+                known[i] = max(known.get(i, 0.0), sure[p])
+    assert seeds or not sure
+    out = {}
+    for i, kind, start, end, _, patterns in places:
+        if kind in (None, pii.SECRET) and any(p in sure for p in patterns):
+            out.setdefault(i, set()).add((start, end))
+    return out
+
+
+def planted_identifiers():
+    """Texts with seeds, with unseen identifiers in the seeds' contexts, and with like tokens in other contexts."""
     r = random.Random(4)
-    texts = [f"{prose(i, 10)} please call +1 (555) 555-{r.randrange(1000, 9999)} {prose(i + 1, 5)}" for i in range(40)]
-    texts += [f"{prose(i, 10)} please call 0{r.randrange(10**5, 10**6)}-{r.randrange(10**4, 10**5)} {prose(i + 1, 5)}" for i in range(12)]
-    texts += [f"{prose(i, 10)} version {r.randrange(1, 9)}.{r.randrange(10, 99)}rc {prose(i + 1, 5)}" for i in range(12)]
-    df = docs(spark, texts + EDGE)
+    lead = ["please call", "reach me via", "contact number"]
+    texts = [f"{prose(i, 10)} {lead[i % 3]} +1 (555) 555-{r.randrange(1000, 9999)} {prose(i + 1, 5)}" for i in range(40)]
+    texts += [f"{prose(i, 10)} {lead[i % 3]} 0{r.randrange(10**5, 10**6)}-{r.randrange(10**4, 10**5)} {prose(i + 1, 5)}" for i in range(12)]
+    texts += [f"{prose(i, 10)} {lead[i % 3]} @handle_{'abc'[i % 3]}{'xyz'[i % 2]} or so" for i in range(6)]
+    texts += [f"{prose(i, 10)} see version {r.randrange(1, 9)}.{r.randrange(10, 99)}rc {prose(i + 1, 5)}" for i in range(12)]
+    texts += [f"{prose(i, 10)} see version 0{r.randrange(10**5, 10**6)}-{r.randrange(10**4, 10**5)} {prose(i + 1, 5)}" for i in range(12)]
+    return texts
+
+
+def test_bootstrapping_finds_unseen_identifiers_where_a_sure_pattern_stands(spark):
+    texts = planted_identifiers()
+    df = docs(spark, [*texts, *EDGE, "x" * 300_000 + " 1", *texts[:5]])  # repeated rows, too
     got = {x["doc_id"]: x for x in pii.find_pii(df).collect()}
-    assert len(got) == len(texts) + len(EDGE)
-    assert all(len(got[i]["spans"]) == 1 for i in range(40)) and all(len(got[i]["more"]) == 1 for i in range(40, 52)) and not any(got[i]["more"] for i in range(52, 64 + len(EDGE)))
-    masked = {x["doc_id"]: x["text"] for x in pii.mask_pii(df).collect()}
-    assert "[PHONE]" in masked[0] and "[OTHER]" in masked[45] and masked[55] == texts[55] and masked[64] is None
+    n = len(texts)
+    assert len(got) == n + len(EDGE) + 6
+    found = {i: [tuple(s) for s in x["more"]] for i, x in got.items() if x["more"]}
+    assert all(len(got[i]["spans"]) == 1 for i in range(40))
+    planted, others = set(range(40, 58)), set(range(58, n))
+    assert planted <= set(found) and not others & set(found) and all(len(found[i]) == 1 for i in planted)
+    everything = [x["text"] for x in sorted(df.select("doc_id", "text").collect())]
+    assert {i: set(x) for i, x in found.items()} == brute_bootstrap(everything)
+    masked = {x["doc_id"]: x for x in pii.mask_pii(df).collect()}
+    assert "[PHONE]" in masked[0]["text"] and "[OTHER]" in masked[45]["text"] and masked[70]["text"] == texts[70] and masked[n]["text"] is None
+    for i, x in masked.items():
+        spans = [(k, s, e) for k, s, e in pii.base_spans(everything[i] or "")] + [("other", s, e) for s, e in found.get(i, [])]
+        assert x["text"] == pii.mask(everything[i], spans) and x["spans"] == x["fp"] == "x" and x["id"] == 1
     assert pii.find_pii(docs(spark, [])).count() == 0 == pii.mask_pii(docs(spark, [])).count()
 
 
+def test_a_repeated_text_makes_no_pattern_surer(spark):
+    texts = ["one call +1 555 555 1234 now"] * 50 + ["two call ab-1234 now"]
+    assert not any(x["more"] for x in pii.find_pii(docs(spark, texts)).collect())
+
+
+def test_secrets_are_found_by_their_pattern_only(spark):
+    r = random.Random(8)
+    texts = [f"{prose(i, 6)} key = {r.getrandbits(160):040x} {prose(i + 1, 6)}" for i in range(12)]
+    texts += [f"{prose(30, 6)} key = \"k-{r.getrandbits(60)}\"; {prose(31, 6)}", f"{prose(50, 6)} commit {r.getrandbits(160):040x} of {prose(51, 6)}"]
+    got = {x["doc_id"]: x["more"] for x in pii.find_pii(docs(spark, texts)).collect()}
+    assert all(len(got[i]) == 1 for i in range(13)) and not got[13]
+
+
 def test_mask_merges_overlaps():
     assert pii.mask("call 12345 now", [("card", 5, 10), ("phone", 5, 8)]) == "call [CARD] now"
 

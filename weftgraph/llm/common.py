@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,14 +24,16 @@ _OWN_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """This application's folder under the one that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (a local session, as in tests) is a temporary folder made.
+    Only where that is unset in a local session, as in tests, is a temporary folder made; on a cluster it must be set.
     """
+    key = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
+        return f"{named.rstrip('/')}/weftgraph-{key}"
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if key not in _OWN_FOLDERS:
         _OWN_FOLDERS[key] = "file://" + tempfile.mkdtemp(prefix="weftgraph-")
     return _OWN_FOLDERS[key]
@@ -39,12 +42,43 @@ def shared_folder(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Later passes read the files, so the work above runs once and an executor lost afterwards costs nothing.
+    Later passes read the files, so the work above runs once and an executor lost afterwards costs nothing. The files
+    stay until ``discard`` or ``release``, as results read them lazily.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/weftgraph-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(written: DataFrame) -> None:
+    """Deletes the files of a materialized table that nothing reads any more."""
+    _delete(written.sparkSession, written._written_at)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes all that this application has written to the shared folder; its unread results are lost."""
+    _delete(spark, shared_folder(spark))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until ``df`` has no such column, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_id(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once with a number for each row in the column ``name``, so that it stays the same in all later passes."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))
 
 
 #: Rows of an Arrow batch to and from Python: whole texts are long, and a batch is held several times over.
@@ -76,10 +110,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def digest_remainder(id_col: str, modulus: int) -> Column:
-    """crc32 of the id written as text, modulo ``modulus``."""
+    """crc32 of the id written as text, modulo ``modulus``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % modulus
 
 
+def held_out(id_col: str, modulus: int, remainder: int) -> Column:
+    """Whether a row is kept from learning: its remainder is the given one, or it has no id to tell by."""
+    return F.coalesce(digest_remainder(id_col, modulus) == remainder, F.lit(True))
+
+
 def fold_sample(df: DataFrame, order_cols: list[str], rows: int) -> DataFrame:
     """At most ``rows`` rows in an order that depends on the rows alone (TakeOrderedAndProject)."""
     return df.orderBy(*[F.xxhash64(F.col(c)) for c in order_cols], *order_cols).limit(rows)

@@ -1,31 +1,40 @@
 """Personal data by fixed patterns and by bootstrapped context patterns.
 
-Fixed patterns find e-mail addresses, IP addresses, card numbers and phone numbers. From these seeds the operator
-learns: an instance is the shape of an identifier-like token (runs of letters and digits folded), a
-pattern the words on its left, or the forms of its neighbours. Instances and patterns form a weighted graph of how often they meet. Spark
-scores it in turns: a pattern is as sure as the weighted share of its instances that are held to be personal data, an
-instance as sure as the evidence of the sure patterns that meet it. Instances that end above the threshold are found
-in every text, with the kind ``other``. Only counts by (pattern, instance) are shuffled.
+Fixed patterns find e-mail addresses, IP addresses, card numbers and phone numbers. These entities, and long hexadecimal
+strings as keys are written, are the seeds. An instance is a whole identifier-like token, a pattern the words around
+it: the word on its left, the two words there, the word on its right, and the left and right words together. Which
+instance meets which pattern is a bipartite graph; copies of a text meet once. Spark scores it in turns: a pattern is
+as sure as the share of its instances that are held to be personal data, an instance as sure as the surest pattern
+that meets it. A token is found, with the kind ``other``, just where a sure pattern stands around it.
+
+Nulls: a null text is empty; a null id stays null, and each row is judged by itself. Very long texts are read whole, in
+time that grows with their length. Repeated rows give repeated results, but count once in the graph, so they make no
+pattern surer. Ties do not arise: a token is found if any pattern around it reaches the threshold. An empty table gives
+no rows; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize, with_row_id
 
-#: A pattern with as many meetings counts half.
-RARE = 20
-#: Forms of neighbours say less than words.
-FORM_WEIGHT = 0.3
 KINDS = ("email", "ip", "card", "phone")
 OTHER = "other"
+#: A seed that is no personal data by itself; found only where a sure pattern stands.
+SECRET = "secret"
+#: A pattern's instances are counted as this many more, none of them personal data.
+DOUBT = 2
+#: Shares the rows of a hot pattern among tasks.
+SALTS = 16
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # a match that fails from the first digit of a run fails from its others too, so runs are tried once
@@ -33,9 +42,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-#: Identifier-like: a run without white space that holds a digit.
-_CANDIDATE = re.compile(r"\S*[0-9]\S*")
-_EDGE = ".,;:!?\"'()[]{}<>#*$%&|"
+_SECRET = re.compile(r"[0-9a-f]{32,}|[0-9A-F]{32,}")
+#: What makes a token identifier-like, up to the white space that ends it.
+_CANDIDATE = re.compile(r"[0-9@_]\S*")
+_EDGE = ".,;:!?\"'()[]{}<>#*$%&|="
+#: Characters of a token that is no identifier: too short to tell anyone from others.
+LEAST_CHARS = 4
+#: Longer words and tokens stand in the graph by their digests.
+WHOLE_CHARS = 64
 
 
 def find_emails(text: str) -> list[tuple[int, int]]:
@@ -48,8 +62,6 @@ def find_emails(text: str) -> list[tuple[int, int]]:
         if start < at and (m := _DOMAIN.match(text, at + 1)):
             found.append((start, m.end()))
             done = m.end()
-        elif start < at:
-            pass
         at = text.find("@", max(at + 1, done))
     return found
 
@@ -62,12 +74,17 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_byte(part: str) -> bool:
+    rest = part.lstrip("0")
+    return len(rest) < 4 and int(rest or "0") <= 255
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by kind as in KINDS, then by start."""
     spans = [("email", s, e) for s, e in find_emails(text)] if "@" in text else []
     if not _DIGITS.search(text):
         return spans
-    spans += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+    spans += [("ip", *m.span()) for m in _IP.finditer(text) if all(map(_is_byte, m[0].split(".")))]
     for m in _CARD.finditer(text):
         if 16 <= m.end() - m.start() and 16 <= len(digits := re.sub("[ -]", "", m[0])) <= 19 and luhn(digits):
             spans.append(("card", *m.span()))
@@ -76,92 +93,144 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def shape(token: str) -> str:
-    """The token with each run of letters and digits folded to its kind and a class of its length; signs stay."""
+def _named(word: str) -> str:
+    """A word or token as a node: in lower case, without signs at its ends; a very long one by its digest."""
+    word = word.strip(_EDGE).lower() or word
+    return word if len(word) <= WHOLE_CHARS else blake2b(word.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
 
-    def folded(run: re.Match) -> str:
-        r = run[0]
-        kind = "9" if r.isdigit() else ("A" if r.isupper() else "a") if r.isalpha() else "x"
-        return kind + next((str(n) for n in (1, 2, 3, 4, 8, 16) if len(r) <= n), "+")
 
-    return re.sub(r"[^\W_]+", folded, token[:200])
+def _word_before(text: str, at: int, low: int) -> tuple[str, int]:
+    """The word that ends before ``at`` and begins at ``low`` at the earliest, and its start."""
+    while at > low and text[at - 1].isspace():
+        at -= 1
+    end = at
+    while at > low and not text[at - 1].isspace():
+        at -= 1
+    return text[at:end], at
 
 
-def _form(word: list[str]) -> str:
-    """The form of a neighbouring word: letters as a, digits as 9, signs as they are, runs as one."""
-    return re.sub(r"9+", "9", re.sub(r"[^\W\d_]+", "a", re.sub(r"\d", "9", word[0][:40]))) if word else ""
+_WORD = re.compile(r"\S+")
 
 
-def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, list[str]]]:
-    """(kind or null, start, end, shape, patterns) of the fixed matches and of other tokens that hold a digit."""
-    if not spans and not _DIGITS.search(text):
-        return []
-    taken = [(s, e, k) for k, s, e in spans]
-    found: list[tuple[str | None, int, int]] = [(k, s, e) for s, e, k in taken]
-    taken.sort()
-    at = 0
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of identifier-like tokens, without signs at their ends. Each character is visited a bounded number of times."""
+    done = 0
     for m in _CANDIDATE.finditer(text):
-        while at < len(taken) and taken[at][1] <= m.start():
-            at += 1
-        if at < len(taken) and taken[at][0] < m.end() or any(s < m.end() and m.start() < e for s, e, _ in taken[at : at + 4]):
-            continue
         start, end = m.span()
+        while start > done and not text[start - 1].isspace():
+            start -= 1
+        done = end
         while start < end and text[start] in _EDGE:
             start += 1
         while end > start and text[end - 1] in _EDGE:
             end -= 1
-        if end - start >= 4:
-            found.append((None, start, end))
+        start = max(start, text.rfind("=", start, end) + 1)  # what is assigned; the name before it is the word on the left
+        if end - start >= LEAST_CHARS:
+            yield start, end
+
+
+def patterns_around(text: str, start: int, end: int, low: int, high: int) -> list[str]:
+    """The patterns around text[start:end], of the words in text[low:high]. Signs beside the token belong to no word."""
+    while start > low and text[start - 1] in _EDGE:
+        start -= 1
+    while end < high and text[end] in _EDGE:
+        end += 1
+    near, at = _word_before(text, start, low)
+    far, _ = _word_before(text, at, low)
+    m = _WORD.search(text, end, high)
+    near, far, after = (_named(w) if w else "" for w in (near, far, m[0] if m else ""))
+    found = {f"{near} _": near, f"{far} {near} _": far, f"_ {after}": after, f"{near} _ {after}": near and after}
+    return sorted(p for p, there in found.items() if there)
+
+
+def candidates(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str | None, int, int, str, list[str]]]:
+    """(kind or null, start, end, instance, patterns) of the fixed matches, and of other identifier-like tokens.
+
+    The words around a place reach to the next place on each side, so that places which follow on one another take
+    linear time, and no identifier is another one's context.
+    """
+    taken = sorted((s, e) for _, s, e in spans)
+    found: list[tuple[str | None, int, int]] = list(spans)
+    at, reach = 0, 0  # reach: the farthest end of the fixed matches that begin before the token's end
+    for start, end in tokens(text):
+        while at < len(taken) and taken[at][0] < end:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= start:
+            found.append((SECRET if _SECRET.fullmatch(text, start, end) else None, start, end))
+    starts, ends = sorted(s for _, s, _ in found), sorted(e for _, _, e in found)
     out = []
     for kind, start, end in found:
-        left, right = text[max(0, start - 60) : start].lower().split(), text[end : end + 40].split()
-        # the word on the left, the two words there, and the forms of the words on both sides
-        patterns = {" ".join(left[-1:]), " ".join(left[-2:]), f"<{_form(left[-1:])} _ {_form(right[:1])}>"} - {""}
-        out.append((kind, start, end, shape(text[start:end]), sorted(patterns)))
+        before, after = bisect_right(ends, start), bisect_left(starts, end)
+        low, high = ends[before - 1] if before else 0, starts[after] if after < len(starts) else len(text)
+        out.append((kind, start, end, _named(text[start:end]), patterns_around(text, start, end, low, high)))
     return out
 
 
-_ROW = "uid long, doc_id long, spans array<struct<kind:string,start:int,end:int>>, found array<struct<kind:string,start:int,end:int,shape:string,patterns:array<string>>>"
+_SPAN = "start:int,end:int"
+_FOUND = f"array<struct<kind:string,{_SPAN},instance:string,patterns:array<string>>>"
 
 
-def extract(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: its fixed matches and its candidates with their context patterns. No text is kept."""
+def extract(rows: DataFrame, row_id: str, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(uid, the long columns ``keep``, spans, found) for each row: its fixed matches, and its candidates with the patterns around them. No text is kept."""
     span = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    cand = pa.struct([*span, pa.field("shape", pa.string()), pa.field("patterns", pa.list_(pa.string()))])
+    cand = pa.struct([*span, pa.field("instance", pa.string()), pa.field("patterns", pa.list_(pa.string()))])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             spans, found = [], []
-            for t in b[2]:
+            for t in b[0]:
                 text = t.as_py() or ""
                 own = base_spans(text)
                 spans.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
-                found.append([dict(zip(("kind", "start", "end", "shape", "patterns"), c, strict=True)) for c in candidates(text, own)])
-            yield pa.RecordBatch.from_arrays([b[0], b[1], pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(cand))], names=["uid", "doc_id", "spans", "found"])
+                found.append([dict(zip(("kind", "start", "end", "instance", "patterns"), c, strict=True)) for c in candidates(text, own)])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(spans, pa.list_(span)), pa.array(found, pa.list_(cand))], names=["uid", *keep, "spans", "found"])
 
-    rows = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, _ROW)
+    own = "".join(f"{c} long, " for c in keep)
+    return rows.select(F.col(text_col).alias("_text"), F.col(row_id).alias("uid"), *keep).mapInArrow(run, f"uid long, {own}spans array<struct<kind:string,{_SPAN}>>, found {_FOUND}")
 
 
-def bootstrap(found: DataFrame, rounds: int = 3, least_support: int = 5, threshold: float = 0.5) -> DataFrame:
-    """Rows (shape): instances held to be personal data, from rows (kind, shape, patterns).
+def bootstrap(found: DataFrame, rounds: int = 3, threshold: float = 0.6) -> DataFrame:
+    """Rows (pattern, conf): the patterns that are sure, from rows (kind, instance, patterns); kind is not null for seeds.
 
-    A pattern's confidence is the share of its meetings that are with seeds or with instances found so far; an
-    instance's is the mean confidence of its meetings, in which rare patterns count less. A round takes in the instances above
-    ``threshold`` with ``least_support`` meetings, and the last round's are returned. No seeds: none.
+    conf is the sum of the beliefs in a pattern's different instances by their number raised by DOUBT; belief is 1 for
+    seeds, and for others the greatest conf of the patterns that meet them, if it reaches ``threshold``. No seeds: none.
     """
-    edges = found.select("kind", "shape", F.explode("patterns").alias("pattern"))
-    # identity of an instance: seeds by their kind, others by their shape
-    graph = materialize(edges.groupBy("pattern", F.coalesce(F.concat(F.lit("="), "kind"), "shape").alias("instance"), F.col("kind").isNotNull().alias("seed")).agg(F.count(F.lit(1)).alias("w")))
-    belief = graph.where("seed").select("instance").distinct().withColumn("belief", F.lit(1.0))
-    for _ in range(rounds):
-        believed = graph.join(belief, "instance", "left").withColumn("b", F.coalesce("belief", F.lit(0.0)))
-        patterns = believed.groupBy("pattern").agg((F.sum(F.col("b") * F.col("w")) / F.sum("w")).alias("conf"), (F.sum("w") / (F.sum("w") + RARE)).alias("sure"))
-        weight = F.col("w") * F.col("sure") * F.when(F.col("pattern").startswith("<"), F.lit(FORM_WEIGHT)).otherwise(F.lit(1.0))
-        scored = graph.where("NOT seed").join(patterns, "pattern").groupBy("instance").agg((F.sum(F.col("conf") * weight) / F.sum(weight)).alias("belief"), F.sum("w").alias("support"))
-        new = scored.where((F.col("belief") >= threshold) & (F.col("support") >= least_support)).select("instance", "belief")
-        belief = materialize(graph.where("seed").select("instance").distinct().withColumn("belief", F.lit(1.0)).unionByName(new))
-    return belief.where(~F.col("instance").startswith("=")).select(F.col("instance").alias("shape"))
+    edges = found.select("instance", F.col("kind").isNotNull().alias("seed"), F.explode("patterns").alias("pattern"))
+    graph = materialize(edges.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+
+    def scored(beliefs: DataFrame) -> DataFrame:
+        """Written apart from the join that uses it, so that adaptive execution may split a hot pattern there."""
+        conf = F.sum("belief") / (F.count(F.lit(1)) + DOUBT)
+        return materialize(beliefs.groupBy("pattern").agg(conf.alias("conf")).where(F.col("conf") >= threshold))
+
+    seeds = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.lit(0.0))
+    sure = scored(graph.select("pattern", seeds.alias("belief")))
+    for _ in range(rounds - 1):
+        met = dealt(graph.where("NOT seed"), sure).groupBy("instance").agg(F.max("conf").alias("known"))
+        beliefs = graph.join(materialize(met), "instance", "left").select("pattern", F.greatest(seeds, F.coalesce("known", F.lit(0.0))).alias("belief"))
+        sure = scored(beliefs)
+    return sure
+
+
+def dealt(rows: DataFrame, sure: DataFrame) -> DataFrame:
+    """``rows`` joined with the sure patterns, which are few beside them and are repeated for each salt, so that the rows of a hot pattern meet in SALTS tasks."""
+    salt = F.pmod(F.xxhash64("instance"), F.lit(SALTS)).cast("int")
+    return rows.withColumn("_salt", salt).join(sure.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["pattern", "_salt"]).drop("_salt")
+
+
+def added_spans(extracted: DataFrame, **bootstrapping) -> DataFrame:
+    """(uid, more) for the rows in which sure patterns stand around tokens that are no fixed matches; more is sorted by start."""
+    one = extracted.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
+    sure = bootstrap(one, **bootstrapping)
+    places = one.where(F.col("kind").isNull() | (F.col("kind") == SECRET)).select("uid", "start", "end", "instance", F.explode("patterns").alias("pattern"))
+    return dealt(places, sure).groupBy("uid").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("more"))
+
+
+def _found(extracted: DataFrame, **bootstrapping) -> DataFrame:
+    """``extracted`` with ``more`` for ``found``."""
+    added = materialize(added_spans(extracted, **bootstrapping))
+    return extracted.drop("found").join(added, "uid", "left").withColumn("more", F.coalesce("more", F.array().cast(f"array<struct<{_SPAN}>>")))
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bootstrapping) -> DataFrame:
@@ -170,14 +239,8 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bo
     Every row of ``df`` gives a row; null texts are empty and have no spans. Spans are in code points, ends exclusive;
     added spans never overlap fixed ones. ``more`` is sorted by start.
     """
-    return _found(materialize(extract(df, id_col, text_col)), **bootstrapping).drop("uid")
-
-
-def _found(rows: DataFrame, **bootstrapping) -> DataFrame:
-    one = rows.select("uid", F.explode("found").alias("f")).select("uid", "f.*")
-    shapes = bootstrap(one, **bootstrapping)
-    more = one.where("kind IS NULL").join(shapes, "shape", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("more"))
-    return rows.select("uid", "doc_id", "spans").join(more, "uid", "left").withColumn("more", F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>")))
+    one = df.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _found(materialize(extract(one, "uid", keep=("doc_id",))), **bootstrapping).drop("uid")
 
 
 def mask(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -192,27 +255,20 @@ def mask(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     return "".join([*out, text[at:]])
 
 
-def mask_pii(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **bootstrapping) -> DataFrame:
-    """``df`` with the personal data in its text masked. The shapes found in a first pass go to a second one as a
-    table; where it is small, which the planner sees by its size, it is broadcast."""
-    shapes = materialize(bootstrap(materialize(extract(df, id_col, text_col)).select(F.explode("found").alias("f")).select("f.*"), **bootstrapping))
-    known = shapes.limit(MOST_SHAPES + 1).collect()
-    if len(known) > MOST_SHAPES:
-        raise ValueError(f"more than {MOST_SHAPES} shapes of identifiers; raise the threshold or least_support")
-    sure = frozenset(r["shape"] for r in known)
-
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        def one(text):
-            if text is None:
-                return None
-            spans = base_spans(text)
-            return mask(text, spans + [(OTHER, c[1], c[2]) for c in candidates(text, spans) if c[0] is None and c[3] in sure])
+def mask_pii(df: DataFrame, text_col: str = "text", **bootstrapping) -> DataFrame:
+    """``df`` with the personal data in its text masked, and all other columns as they are.
 
-        return texts.map(one)
+    The rows are written once with a number each; the spans found meet them by it, so no key is hot.
+    """
+    uid, own, more = (fresh(df, name) for name in ("_uid", "_own", "_more"))
+    rows = with_row_id(df, uid)
 
-    return df.withColumn(text_col, masked(F.col(text_col)))
+    @F.pandas_udf("string")
+    def masked(texts: pd.Series, fixed: pd.Series, added: pd.Series) -> pd.Series:
+        def one(text, fixed, added):
+            return mask(text, [(s["kind"], s["start"], s["end"]) for s in fixed] + [(OTHER, s["start"], s["end"]) for s in added])
 
+        return pd.Series([one(*x) for x in zip(texts, fixed, added, strict=True)], dtype=object)
 
-#: Shapes are bounded by folding; beyond this many a fit is refused rather than cut.
-MOST_SHAPES = 100_000
+    spans = _found(materialize(extract(rows, uid, text_col)), **bootstrapping).select(F.col("uid").alias(uid), F.col("spans").alias(own), F.col("more").alias(more))
+    return rows.join(spans, uid).withColumn(text_col, masked(F.col(text_col), F.col(own), F.col(more))).select(*df.columns)

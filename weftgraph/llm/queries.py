@@ -75,7 +75,8 @@ def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     more = F.transform("more", lambda s: F.struct(F.lit(pii.OTHER).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(text(F.col("spans")), 256).alias("base_sha256"), text(F.concat("spans", more)).alias("spans"))
+    n_other, n_spans = F.size("more").cast("long").alias("n_other"), (F.size("spans") + F.size("more")).cast("long").alias("n_spans")
+    return found.select("doc_id", *counts, F.sha2(text(F.col("spans")), 256).alias("base_sha256"), text(F.concat("spans", more)).alias("spans"), n_other, n_spans)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
