@@ -202,6 +202,35 @@ def test_gumbel_top_k_with_ties(spark, k):
     assert not chosen or len(chosen) == 30 or min(x["key"] for x in chosen) >= max(x["key"] for x in got if not x["selected"])
 
 
+def test_gumbel_top_k_of_extreme_keys(spark):
+    r = random.Random(6)
+    keys = [1.7e308, -1.7e308, 5e-324, 0.0, 1e-9, 1e-9 * (1 + 2**-52), 9.1e8, 9.2e8, -1.2e9, -1.3e9, 9e8 + 1e-6] + [r.gauss(0, 1) * 10 ** r.randint(-12, 12) for _ in range(60)]
+    df = spark.createDataFrame([(i, 0.0, 0.0, x) for i, x in enumerate(keys)], "doc_id long, log_weight double, mean_log_weight double, key double").cache()
+    for k in (1, 2, 3, 10, 35, 69, 70):
+        got = [x["key"] for x in resample.gumbel_top_k(df, k).where("selected").collect()]
+        assert sorted(got, reverse=True) == sorted(keys, reverse=True)[:k]
+
+
+def test_log_ratios_against_plain_counts(spark):
+    texts = [prose(i, 30, 60) for i in range(30)] + EDGE
+    df = docs(spark, texts).withColumn("_target", F.col("doc_id") % 3 == 0)
+    grams = resample.HashedGrams(500)
+    raw, target = Counter(), Counter()
+    for i, t in enumerate(texts):
+        words = re.findall(r"\w+|[^\w\s]+", (t or "").lower())
+        h = [xxhash.xxh64_intdigest(w) for w in words]
+        own = Counter(x % 500 for x in h)
+        assert Counter(grams(t)[: len(h)].tolist()) == own and len(grams(t)) == max(0, 2 * len(h) - 1)
+        raw.update(grams(t).tolist())
+        target.update(grams(t).tolist() if i % 3 == 0 else [])
+    n, m = sum(raw.values()) + 500, sum(target.values()) + 500
+    want = [np.log((target[b] + 1) / m) - np.log((raw[b] + 1) / n) for b in range(500)]
+    got = resample.fit_log_ratios(df, 500)
+    assert np.allclose(got, want)
+    weights = {x["doc_id"]: x["log_weight"] for x in resample.importance(df, got).collect()}
+    assert all(weights[i] == pytest.approx(sum(want[g] for g in grams(t).tolist()) if len(grams(t)) else -1e9) for i, t in enumerate(texts))
+
+
 def test_resampling_of_nothing(spark):
     assert resample.resample(docs(spark, []).withColumn("_target", F.lit(True)), share=0.5, buckets=100).count() == 0
 
@@ -408,6 +437,19 @@ def test_license_templates_and_containment(spark):
     assert all(got[i] == [] for i in range(at)) and licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_license_places_where_folding_changes_lengths():
+    t = licenses.Templates(licenses.TEMPLATES)
+    text = "İİİİ Released under the MIT License."
+    assert [m[2:] for m in t.scan(text)] == [(5, 35)]
+    assert [m[0] for m in t.scan("x " * 300_000 + "RELEASED UNDER THE MIT LICENSE")] == ["MIT"] and t.scan("a" * 1_000_000) == []
+
+
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_every_template_is_found_in_prose(name):
+    found = licenses.Templates(licenses.TEMPLATES).scan(f"{prose(3)} {licenses.TEMPLATES[name]} {prose(4)}")
+    assert name in {m[0] for m in found}
+
+
 def test_license_scan_against_every_window():
     t = licenses.Templates({"A": " ".join(f"lic{i}" for i in range(30)), "B": "one two three four five six"})
     r = random.Random(2)
@@ -569,13 +611,36 @@ def test_language_of_held_out_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_margin", F.lit("clash"))
     fitted = langid.fit_dictionaries(df, 20_000)
     assert set(fitted) == {"aa", "bb", "cc"} and fitted == langid.fit_dictionaries(df.repartition(5), 20_000)
-    out = langid.identify_languages(df.drop("lang_margin"), fitted).collect()
+    out = langid.identify_languages(df, fitted).collect()
+    assert set(out[0].asDict()) == {"doc_id", "text", "lang", "lang_pred", "lang_score", "lang_margin", "lang_rejected"}
+    assert langid.identify_languages(df.withColumn("_lang", F.lit(1)).withColumn("Lang_Pred", F.lit(2)), fitted).where("_lang = 1").count() == 240
     assert sum(x["lang_pred"] == ("aa", "bb", "cc")[x["doc_id"] % 3] for x in out if x["doc_id"] < 60) >= 58
-    edge = {x["doc_id"]: x for x in langid.identify_languages(docs(spark, EDGE + ["12 !? 3"]), fitted).collect()}
-    assert len(edge) == len(EDGE) + 1 and all(edge[i]["lang_pred"] == "und" and edge[i]["lang_rejected"] for i in (0, 1, 2, 3, len(EDGE)))
+    edge = {x["doc_id"]: x for x in langid.identify_languages(docs(spark, EDGE + ["12 !? 3", "²²² ½ Ⅷ"]), fitted).collect()}
+    assert len(edge) == len(EDGE) + 2 and all(edge[i]["lang_pred"] == "und" and edge[i]["lang_rejected"] for i in (0, 1, 2, 3, len(EDGE), len(EDGE) + 1))
     assert all(0 <= x["lang_score"] <= 1 for x in edge.values())
 
 
+def test_language_has_the_least_sum_of_compressed_blocks():
+    import zstandard
+
+    data = {k: " ".join(prose(i, 300).split()[::-1] if k == "bb" else prose(i + 5, 300).split()).replace("a", k[0]).encode() for i, k in enumerate(("aa", "bb", "cc"))}
+    classifier = langid.CompressionClassifier(data)
+    for i, text in enumerate([prose(60, 30), prose(61, 400), prose(62, 5000), "x" * 30_000, "b"]):
+        body = " ".join(text.lower().split()).encode()
+        level = 6 if len(body) > 512 else 9
+        sizes = {}
+        for lang, d in data.items():
+            c = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(body[a : a + 8192])) for a in range(0, len(body), 8192))
+        assert classifier.classify(text)[0] == min(sizes, key=sizes.get), i
+
+
+def test_many_labels_share_the_bytes(spark):
+    rows = [(f"l{i % 40}", prose(i, 50)) for i in range(120)]
+    fitted = langid.fit_dictionaries(spark.createDataFrame(rows, "lang string, text string"), 20_000, total_bytes=4000)
+    assert len(fitted) == 40 and all(0 < len(v) <= 3 * 100 for v in fitted.values())
+
+
 def test_language_without_labels(spark):
     empty = docs(spark, []).withColumn("lang", F.lit(None).cast("string"))
     assert langid.fit_dictionaries(empty) == {}

@@ -4,6 +4,11 @@ For each language a raw-content dictionary is made of labelled texts. A text is
 compressed by zstandard with each language's dictionary, and the language with the smallest total is chosen. Blocks
 keep every part of a long text near the dictionary. The relative margin to the second-best total is the certainty;
 below ``least_margin`` the choice is rejected.
+
+Nulls: a null text, like one without a letter, is ``und``; rows with a null label or text teach nothing. Very long texts are
+compressed whole, block by block. Ties go to the label with more learned rows, then to the lesser one. Repeated texts
+are learned once and get the same result each time. Without rows there are no dictionaries, and without dictionaries
+all is ``und``. Columns of ``df`` are kept, but the four that are added replace any of the same names.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import fresh, worker_state
 
 UNKNOWN = "und"
 
@@ -29,16 +34,21 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 def _clean(text: str) -> str:
     """The lower-case words; digits, signs and line ends tell no language."""
-    return " ".join(_LETTERS.findall(text.lower()))
+    words = _LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, words)):  # the pattern also takes numbers that are no decimal digits, such as ² and Ⅷ
+        words = "".join(c if c.isalpha() else " " for w in words for c in (*w, " ")).split()
+    return " ".join(words)
 
 
-def fit_dictionaries(df: DataFrame, dictionary_bytes: int = 98_304, text_bytes: int = 4096, lang_col: str = "lang", text_col: str = "text", most_languages: int = 500) -> dict[str, bytes]:
+def fit_dictionaries(df: DataFrame, dictionary_bytes: int = 98_304, text_bytes: int = 4096, lang_col: str = "lang", text_col: str = "text", total_bytes: int = 48 << 20) -> dict[str, bytes]:
     """A raw-content dictionary per language from rows with a text of at most ``text_bytes`` and a label.
 
     The fit is on a bounded sample: of each language the texts with the least hashes, each text once, up to
     ``dictionary_bytes`` (longer texts are used only if a language has no others, and are then cut).
     Each task keeps only as many texts as can matter, so at most dictionary_bytes a language and task are shuffled.
-    Null labels and null or empty texts are left out; no rows: no dictionaries. ``most_languages`` bounds the labels, which come in order of their number of rows.
+    Null labels and null or empty texts are left out; no rows: no dictionaries. Labels come in order of their number of
+    rows. All dictionaries together stay within ``total_bytes``: where labels are so many that full ones would not, each is
+    smaller, and no label goes.
     """
     schema = pa.schema([("lang", pa.string()), ("rank", pa.int64()), ("body", pa.string())])
 
@@ -67,15 +77,15 @@ def fit_dictionaries(df: DataFrame, dictionary_bytes: int = 98_304, text_bytes:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     labelled = df.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    seen = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a label
+    dictionary_bytes = max(1, min(dictionary_bytes, total_bytes // max(1, len(seen))))
+    text_bytes = min(text_bytes, dictionary_bytes)
     best = labelled.mapInArrow(nearest, "lang string, rank long, body string").dropDuplicates(["lang", "rank"])
     before = Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     best = best.withColumn("before", F.coalesce(F.sum(F.length("body")).over(before), F.lit(0))).where(F.col("before") < dictionary_bytes)
     out: dict[str, list[tuple[int, str]]] = {}
     for r in best.select("lang", "rank", "body").collect():  # at most dictionary_bytes and one text a language
         out.setdefault(r["lang"], []).append((r["rank"], r["body"]))
-    if len(out) > most_languages:
-        raise ValueError(f"{len(out)} languages; most_languages is {most_languages}")
-    seen = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     in_order = sorted(out.items(), key=lambda x: (-seen[x[0]], x[0]))
     return {lang: "\n".join(body for _, body in sorted(rows, reverse=True)).encode() for lang, rows in in_order}
 
@@ -126,6 +136,7 @@ def identify_languages(df: DataFrame, dictionaries: dict[str, bytes], least_marg
         classifier = worker_state(("langid", key), lambda: CompressionClassifier(shared.value))
         return pd.DataFrame([classifier.classify(t) for t in texts], columns=["lang_pred", "lang_score", "lang_margin"])
 
-    out = df.withColumn("_lang", classify(F.col(text_col)))
-    out = out.select(*df.columns, "_lang.lang_pred", "_lang.lang_score", "_lang.lang_margin")
+    added = {"lang_pred": "string", "lang_score": "double", "lang_margin": "double"}
+    at, own = fresh(df, "_lang"), [F.col(f"`{c}`") for c in df.columns if c.lower() not in {*added, "lang_rejected"}]
+    out = df.withColumn(at, classify(F.col(text_col))).select(*own, *[F.col(f"{at}.{c}").alias(c) for c in added])
     return out.withColumn("lang_rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("lang_margin") < least_margin))

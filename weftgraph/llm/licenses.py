@@ -7,6 +7,10 @@ SPAN m shingles, inserted words included; longer ones are no copies. A copy that
 ``bands`` bands of one row collide with probability 1 - (1 - s) ** bands, 0.9999 or more. A text none of whose
 shingles is a template's minimum in some band cannot collide, so most texts end at that test. Around each collision
 the shingles of the window and of as many to both sides are compared as words with the template's.
+
+Nulls: a null text is empty and has no licenses; a null id stays null. Very long texts are scanned whole. Where several
+templates fit a place each is reported, ties in start by name. Repeated rows give repeated results, an empty table none.
+Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,11 +43,17 @@ TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "MIT-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
     "BSD-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
+    "MIT-disclaimer": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
 
 def _words(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    """Words as they are written; they are folded one by one, as folding a whole text may move its positions."""
+    return _TOKEN.findall(text)
 
 
 class Templates:
@@ -56,7 +66,7 @@ class Templates:
         self.by_size: dict[int, list] = {}
         minima = []
         for name, text in templates.items():
-            words = _words(text)
+            words = [w.lower() for w in _words(text)]
             if len(words) < SHINGLE:
                 raise ValueError(f"{name} has fewer than {SHINGLE} words")
             grams = Counter(tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1))
@@ -86,7 +96,7 @@ class Templates:
         if len(known) > 500_000:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
+            known[w] = xxhash.xxh64_intdigest(w.lower())
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         n = len(h) - SHINGLE + 1
         out = np.zeros(max(0, n), np.uint64)
@@ -131,7 +141,7 @@ class Templates:
         if not (self.minima[at] == s).any():
             return []
         permuted = [self._permuted(s, k) for k in range(self.bands)]
-        places = [m.span() for m in _TOKEN.finditer((text or "").lower())]
+        places, words = [m.span() for m in _TOKEN.finditer(text or "")], [w.lower() for w in words]
         found = []
         for m, templates in self.by_size.items():
             t = self.stride(m)

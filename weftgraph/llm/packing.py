@@ -6,6 +6,10 @@ a segment tree over remaining capacities finds the tightest open bin in O(log ca
 are handled together as a class with a count, so the plan too stays small however many bins there are. Spark then
 ranks the pieces of each length and places rank by rank with a join on ranges of ranks. Every piece is placed, and
 the result is that of best-fit decreasing over all pieces at once.
+
+A null or empty text is one piece of one token, and a null id stays null. Very long texts are cut, never shortened.
+Repeated rows are packed each. Pieces of equal length are interchangeable, so ties change no number of bins. An empty
+table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -132,19 +136,19 @@ def slot_runs(classes: list[tuple[int, list[int]]]) -> list[tuple[int, int, int,
     return runs
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, parts: int = 256) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, part_rows: int = 200_000) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (1 to ``capacity``).
 
-    ``pieces`` is read twice: give it materialized. Pieces of one length are ranked in ``parts`` parts that are hashed
-    from the document, so that a length held by a third of all rows is not ranked by one task. Which of several pieces
+    ``pieces`` is read twice: give it materialized. Pieces of one length are ranked in parts of about ``part_rows`` that are
+    hashed from the document, as many as the most frequent length needs, so no task ranks a whole frequent length. Which of several pieces
     of the same length goes where is a matter of the ranks. No pieces: no rows.
     """
     spark = pieces.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
-    rows = pieces.withColumn("_part", part)
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    parts = 16 + max(histogram.values(), default=0) // part_rows
+    rows = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     counts = rows.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     firsts = counts.withColumn("_first", F.sum("_n").over(Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-    histogram = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     runs = slot_runs(best_fit_decreasing(histogram, capacity))
     by_length: dict[int, list] = {}
     for length, first, ranks, bin_, offset in runs:

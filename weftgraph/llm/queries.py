@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chroma, langid, licenses, packing, pii, quality, resample, simhash, toxicity
-from .common import digest_remainder, fold_sample, materialize, session_for_texts, table
+from .common import fold_sample, held_out, materialize, session_for_texts, table
 
 #: The bound of op3's sample of labelled rows.
 TARGET_TEXTS = 20_000
@@ -56,9 +56,9 @@ def op5_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     session_for_texts(spark)
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit_toxicity(documents, labels.where(digest_remainder("doc_id", 3) != 1))
+    model = toxicity.fit_toxicity(documents, labels.where(~held_out("doc_id", 3, 1)))
     scored = toxicity.score_toxicity(documents, model)
-    return scored.select("doc_id", (digest_remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,10 +82,10 @@ def op8_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     session_for_texts(spark)
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held_out = digest_remainder("doc_id", 5) == 0
-    dictionaries = langid.fit_dictionaries(documents.where(~held_out))
+    kept_back = held_out("doc_id", 5, 0)
+    dictionaries = langid.fit_dictionaries(documents.where(~kept_back))
     found = langid.identify_languages(documents.select("doc_id", "text"), dictionaries)
-    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), F.col("lang_rejected").alias("rejected"))
+    return found.select("doc_id", kept_back.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_margin").alias("margin"), F.col("lang_rejected").alias("rejected"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,12 @@
 Two bags of hashed word 1- and 2-grams are counted, one over the target texts and one over all raw texts. A text's
 log importance is the sum over its n-grams of the log ratio of their smoothed shares. With Gumbel noise added, taking
 the k largest is sampling k texts without replacement in proportion to their importance. The noise comes from a hash
-of the id and a seed, so a lost task computes the same again. The k-th largest key is found by narrowing its digits
-level by level on counts, so no task and no driver sorts or gathers the keys.
+of the id and a seed, so a lost task computes the same again. The k-th largest key is found by narrowing an interval
+on counts of its parts, so no task and no driver sorts or gathers the keys.
+
+Nulls: a null text weighs like one without n-grams, a null id draws the noise of one fixed id. Very long texts are read
+whole. Repeated rows weigh alike and draw the same noise; rows that tie at the k-th key are taken by the hash of their
+id, and rows equal in both share one fate. An empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize, splitmix
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
+#: Parts that an interval of keys is counted in at a time.
+PARTS = 1 << 15
 
 
 class HashedGrams:
@@ -89,28 +95,34 @@ def importance(df: DataFrame, log_ratios: np.ndarray, seed: int = 7, id_col: str
 
 
 def gumbel_top_k(keyed: DataFrame, k: int) -> DataFrame:
-    """Adds ``selected``: whether ``key`` is among the k largest; ties go to the smaller doc_id's hash, and rows equal in both share one fate.
+    """Adds ``selected``: whether ``key``, a finite double, is among the k largest; ties go to the smaller doc_id's hash, and rows equal in both share one fate.
 
     ``keyed`` is read several times: give it materialized. k of at least the row count selects all rows.
     """
-    scaled = F.floor(F.greatest(F.least(F.col("key"), F.lit(9e8)), F.lit(-1.1e9)) * 1e9).cast("long") + F.lit(1_200_000_000_000_000_000)
-    rows = keyed.withColumn("_code", scaled)
-    low, left = None, k
-    within = rows
-    for shift in (45, 30, 15, 0):
-        counts = {r["d"]: r["n"] for r in within.groupBy(F.shiftright("_code", shift).alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 2^16 values
-        for d in sorted(counts, reverse=True):
-            if counts[d] >= left:
-                low = d
+    if k <= 0:
+        return keyed.withColumn("selected", F.lit(False))
+    low, high, left = *keyed.agg(F.min("key"), F.max("key")).first(), k
+    within = keyed
+    while low is not None and low < high:
+        # monotone in the key whatever is rounded, and the ends of the interval are in different parts, so it narrows
+        width = high / 2 - low / 2
+        part = F.least(F.floor((F.col("key") / 2 - low / 2) / width * PARTS), F.lit(PARTS)).cast("int") if width else (F.col("key") > low).cast("int")
+        rows = within.groupBy(part.alias("d")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()  # at most PARTS + 1
+        for r in sorted(rows, key=lambda r: -r["d"]):
+            if r["n"] >= left:
+                low, high = r["low"], r["high"]
                 break
-            left -= counts[d]
+            left -= r["n"]
         else:
-            return rows.withColumn("selected", F.lit(k > 0)).drop("_code")
-        within = within.where(F.shiftright("_code", shift) == low)
+            return keyed.withColumn("selected", F.lit(True))  # fewer than k rows
+        within = keyed.where(F.col("key").between(low, high))
+    if low is None or within.count() <= left:
+        return keyed.withColumn("selected", F.lit(True) if low is None else F.col("key") >= low)
     # `left` of the rows whose key is the very k-th largest, by id
-    at = rows.where(F.col("_code") == low).orderBy(F.xxhash64("doc_id"), "doc_id").limit(left).agg(F.max(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("i"))).alias("m")).first()["m"]
-    tie = (F.col("_code") == low) & (F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("i")) <= F.struct(F.lit(at["h"]).alias("h"), F.lit(at["i"]).alias("i"))) if at else F.lit(False)
-    return rows.withColumn("selected", (F.col("_code") > low) | F.coalesce(tie, F.lit(False))).drop("_code")
+    order = F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("i"))
+    last = within.select(order.alias("o")).orderBy("o").limit(left).agg(F.max("o").alias("m")).first()["m"]
+    tie = order <= F.struct(*[F.lit(last[c]).alias(c) for c in ("h", "none", "i")])
+    return keyed.withColumn("selected", (F.col("key") > low) | ((F.col("key") == low) & tie))
 
 
 def resample(df: DataFrame, k: int | None = None, share: float = 0.5, buckets: int = 20_000, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", target_col: str = "_target") -> DataFrame:

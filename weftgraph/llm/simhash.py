@@ -8,7 +8,11 @@ within the radius is missed.
 Equal fingerprints are first merged. Inside a bucket a breadth-first walk emits a spanning forest of the links, never
 all pairs. A bucket with more than ``most`` different fingerprints goes an exact other way: two of them are within r
 bits just if some third value is within r/2 bits of both, so each is linked with the least of those that share such
-a value; that is linear in the bucket.
+a value; that is linear in the bucket, and the bucket is never gathered.
+
+Nulls: a null text has no words; null ids form groups as others do, and a group of them alone has a null component_id.
+Very long texts are hashed whole. Ties go to the least doc_id. An empty table gives no rows; further columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from .components import connected_components
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SHINGLE_WORDS = 4
 SEED = 42
+#: Shares the rows of a large bucket among tasks.
+SALTS = 16
 
 
 def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
@@ -88,20 +94,18 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _links(radius: int, most: int):
-    """For rows (mask, key, fp) sorted by bucket: links (a, b, mask); a fingerprint of a large bucket as (a, null, mask)."""
+def _links(radius: int):
+    """For rows (mask, key, fp) sorted by bucket, none of them large: links (a, b)."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = None
 
-        def solve(mask, fps):
-            if len(fps) > most:
-                return fps.view(np.int64).tolist(), [None] * len(fps), [mask] * len(fps)
-            edges = np.array(_forest(fps, radius), np.uint64).reshape(-1, 2).view(np.int64)
-            return edges[:, 0].tolist(), edges[:, 1].tolist(), [mask] * len(edges)
+        def out(a, b):
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-        def out(a, b, m):
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(m, pa.int32())], names=["a", "b", "mask"])
+        def solve(fps):
+            edges = np.array(_forest(fps, radius), np.uint64).reshape(-1, 2).view(np.int64)
+            return edges[:, 0].tolist(), edges[:, 1].tolist()
 
         for batch in parts:
             mask, key, fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -111,20 +115,20 @@ def _links(radius: int, most: int):
                 continue
             new = np.flatnonzero((mask[1:] != mask[:-1]) | (key[1:] != key[:-1])) + 1
             starts = np.concatenate(([0], new))
-            last = starts[-1]  # the last bucket may go on in the next batch
+            last = starts[-1]  # the last bucket may go on in the next batch; it holds `most` rows at the most
             carried = mask[last:], key[last:], fp[last:]
-            a, b, m = [], [], []
             sizes = np.diff(starts)
             two = starts[:-1][sizes == 2]
             near = two[np.bitwise_count(fp[two].view(np.uint64) ^ fp[two + 1].view(np.uint64)) <= radius]
-            a, b, m = fp[near].tolist(), fp[near + 1].tolist(), mask[near].tolist()
+            a, b = fp[near].tolist(), fp[near + 1].tolist()
             for s, size in zip(starts[:-1][sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-                for into, got in zip((a, b, m), solve(int(mask[s]), fp[s : s + size].view(np.uint64)), strict=True):
-                    into += got
+                more_a, more_b = solve(fp[s : s + size].view(np.uint64))
+                a += more_a
+                b += more_b
             if a:
-                yield out(a, b, m)
+                yield out(a, b)
         if carried is not None and len(carried[2]) > 1:
-            yield out(*solve(int(carried[0][0]), carried[2].view(np.uint64)))
+            yield out(*solve(carried[2].view(np.uint64)))
 
     return run
 
@@ -151,11 +155,20 @@ def near_duplicate_links(distinct: DataFrame, radius: int = 4, most: int = 4096)
         raise ValueError("radius must be even")
     masks = covering_masks(radius)
     keyed = distinct.select(F.col("fp"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("mask", "key")).select("mask", "key", "fp")
-    found = materialize(keyed.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_links(radius, most), "a long, b long, mask int"))
-    hubs = found.where("b IS NULL").select("a", "mask").mapInArrow(_half_radius_neighbours(radius, masks), "mask int, hub long, fp long")
-    least = hubs.groupBy("mask", "hub").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
-    through = hubs.join(least, ["mask", "hub"]).where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    return found.where("b IS NOT NULL").select("a", "b").unionByName(through).distinct()
+    # sizes are summed before any row meets another, so no task gathers a large bucket
+    sizes = keyed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(sizes.where(F.col("n") > most).select("mask", "key"))
+    small, through = keyed, None
+    if not large.isEmpty():
+        marked = keyed.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+        marked = marked.join(large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("hot", F.lit(True)), ["mask", "key", "salt"], "left")
+        small = marked.where("hot IS NULL").select("mask", "key", "fp")
+        hubs = marked.where("hot").select("fp", "mask").mapInArrow(_half_radius_neighbours(radius, masks), "mask int, hub long, fp long")
+        # a hub has few values within half the radius, as many as there are flips at the most
+        least = hubs.groupBy("mask", "hub").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
+        through = hubs.join(least, ["mask", "hub"]).where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    found = small.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_links(radius), "a long, b long")
+    return (found if through is None else found.unionByName(through)).distinct()
 
 
 def near_duplicates(df: DataFrame, radius: int = 4, most: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,9 +178,10 @@ def near_duplicates(df: DataFrame, radius: int = 4, most: int = 4096, id_col: st
     like others; repeated rows are repeated.
     """
     docs = materialize(fingerprints(df, id_col, text_col))
-    groups = docs.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(near_duplicate_links(docs.select("fp").distinct(), radius, most))
-    merged = groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    components = merged.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = materialize(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = connected_components(near_duplicate_links(groups.select("fp"), radius, most))
+    merged = materialize(groups.join(roots, groups.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    # written before it is joined, so that adaptive execution may split the rows of a large component, or of a fingerprint
+    components = materialize(merged.groupBy("root").agg(F.min("least").alias("component_id")))
     by_fp = materialize(merged.select("fp", "root").join(components, "root").select("fp", "component_id"))
     return docs.join(by_fp, "fp").select("doc_id", "fp", "component_id")
