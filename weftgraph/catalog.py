@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,7 +75,8 @@ class PropertyGraph:
         return self
 
     def add_rel(self, type_: str, src: str, dst: str, df: DataFrame, src_col: str = "_src", dst_col: str = "_dst", multiplicity: str = "MANY_TO_MANY", types: dict | None = None, defaults: dict | None = None, sort_key: str | None = None) -> PropertyGraph:
-        """Without a column _eid, an edge is identified by its values, so equal parallel edges are one edge to TRAIL."""
+        """Without a column _eid, an edge is identified by its values and its number among equal ones. That number takes a
+        shuffle of the edges, in queries that read edge ids; give _eid, or a multiplicity that allows no equal edges, to spare it."""
         for label in (src, dst):
             if label not in self.nodes:
                 raise CatalogError(f"no node type {label}")
@@ -84,7 +85,12 @@ class PropertyGraph:
         if any((t.src, t.dst) == (src, dst) for t in self.rels.get(type_, [])):
             raise CatalogError(f"{type_} from {src} to {dst} already exists")
         props = [c for c in df.columns if c not in (src_col, dst_col, "_eid")]
-        eid = F.col("_eid") if "_eid" in df.columns else F.xxhash64(F.lit(f"{type_}:{src}:{dst}"), *df.columns)
+        if "_eid" in df.columns:
+            eid = F.col("_eid")
+        else:
+            values = [F.col(f"`{c}`") for c in df.columns]
+            number = F.row_number().over(Window.partitionBy(*values).orderBy(F.lit(0))) if multiplicity == "MANY_TO_MANY" else F.lit(1)
+            eid = F.xxhash64(F.lit(f"{type_}:{src}:{dst}"), *values, *[v.isNull() for v in values], number)
         own = df.select(F.col(src_col).alias("_src"), F.col(dst_col).alias("_dst"), eid.alias("_eid"), *props)
         self.rels.setdefault(type_, []).append(RelTriplet(type_, src, dst, own, multiplicity, types or {}, defaults or {}, sort_key))
         return self

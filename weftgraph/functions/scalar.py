@@ -36,10 +36,47 @@ PLAIN: dict[str, Callable[..., Column]] = {
 }
 
 
+INTERVALS = (T.YearMonthIntervalType, T.DayTimeIntervalType, T.CalendarIntervalType)
+
+
+def _mixed(ta: T.DataType, tb: T.DataType) -> bool:
+    """Whether two intervals are not both of months, nor both of seconds."""
+    return isinstance(ta, INTERVALS) and isinstance(tb, INTERVALS) and (type(ta) is not type(tb) or isinstance(ta, T.CalendarIntervalType))
+
+
+def _months(c: Column) -> Column:
+    return F.call_function("div", c, F.expr("INTERVAL '1' MONTH")).cast("int")
+
+
+def _part(unit: str, c: Column) -> Column:
+    return F.extract(F.lit(unit), c)
+
+
+def calendar(c: Column, t: T.DataType) -> Column:
+    """An interval of any kind as one of months, days and seconds."""
+    if isinstance(t, T.YearMonthIntervalType):
+        return F.make_interval(F.lit(0), _months(c))
+    if isinstance(t, T.DayTimeIntervalType):
+        return F.make_interval(F.lit(0), F.lit(0), F.lit(0), *[_part(u, c).cast("int") for u in ("day", "hour", "minute")], _part("second", c).cast("decimal(18,6)"))
+    return c
+
+
+def interval_order(c: Column, t: T.DataType) -> Column:
+    """Seconds that an interval is compared and sorted by: a month counts 30 days."""
+    if isinstance(t, T.YearMonthIntervalType):
+        return (_months(c).cast("long") * 30 * 86400).cast("decimal(28,6)")
+    days = _part("day", c).cast("long")
+    if isinstance(t, T.CalendarIntervalType):
+        days = days + 30 * (12 * _part("year", c).cast("long") + _part("month", c).cast("long"))
+    return (86400 * days + 3600 * _part("hour", c).cast("long") + 60 * _part("minute", c).cast("long") + _part("second", c).cast("decimal(18,6)")).cast("decimal(28,6)")
+
+
 def add(a: Column, b: Column, ta: T.DataType, tb: T.DataType, op: str) -> Column:
     """+ - * with the language's promotion: an integer with a FLOAT is a FLOAT; strings and lists are joined by +."""
     if op == "+" and (isinstance(ta, T.StringType) or isinstance(tb, T.StringType)):
         return F.concat(a, b)
+    if op in ("+", "-") and _mixed(ta, tb):
+        a, b = calendar(a, ta), calendar(b, tb)
     if op == "+" and isinstance(ta, T.ArrayType):
         return F.concat(a, b)
     if isinstance(ta, T.FloatType) and is_integral(tb) or isinstance(tb, T.FloatType) and is_integral(ta):
@@ -47,6 +84,10 @@ def add(a: Column, b: Column, ta: T.DataType, tb: T.DataType, op: str) -> Column
     return {"+": a + b, "-": a - b, "*": a * b}[op]
 
 
+def comparable_intervals(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> tuple[Column, Column]:
+    return (interval_order(a, ta), interval_order(b, tb)) if _mixed(ta, tb) else (a, b)
+
+
 def divide(a: Column, b: Column, ta: T.DataType, tb: T.DataType) -> Column:
     """Integers divide to integers and fail on zero; floats divide as in IEEE 754."""
     if is_integral(ta) and is_integral(tb):

@@ -122,32 +122,50 @@ def show_tables(graph: PropertyGraph) -> DataFrame:
     return graph.spark.createDataFrame(rows, "name string, type string")
 
 
+def _values(spark: SparkSession, defaults: dict) -> dict[str, str]:
+    """Declared defaults as JSON texts of their values."""
+    if not defaults:
+        return {}
+    row = spark.range(1).select(*[F.to_json(F.struct(d.alias("v"))).alias(p) for p, d in defaults.items()]).first()
+    return row.asDict()
+
+
+def _defaults(schema: T.StructType, types: dict, values: dict) -> dict:
+    out = {p: system_default(spark_type(t)) for p, t in types.items()}
+    return out | {p: F.from_json(F.lit(v), T.StructType([T.StructField("v", schema[p].dataType)]))["v"] for p, v in values.items() if p in schema.names}
+
+
 def save(g: PropertyGraph, path: str) -> None:
-    """Each table as Parquet in a new version's folder, and then the manifest that names them, so a lost job leaves the old graph."""
-    old = _manifest(g.spark, path)
-    version = (old or {}).get("version", 0) + 1
+    """Each table as Parquet in a new version's folder, and then that version's manifest, which names them.
+
+    Nothing is overwritten, and a manifest counts only once Spark has committed it, so a lost job leaves the old graph.
+    """
+    version = max(_versions(g.spark, path), default=0) + 1
     tables: dict = {"version": version, "nodes": [], "rels": []}
     for n in g.nodes.values():
         at = f"{path}/v{version}/node-{n.label}"
         n.df.write.mode("overwrite").parquet(at)
         n.df = g.spark.read.schema(n.df.schema).parquet(at)
-        tables["nodes"].append({"label": n.label, "key": n.key, "at": at, "schema": n.df.schema.json(), "types": n.types})
+        tables["nodes"].append({"label": n.label, "key": n.key, "at": at, "schema": n.df.schema.json(), "types": n.types, "defaults": _values(g.spark, n.defaults)})
     for t in (t for ts in g.rels.values() for t in ts):
         at = f"{path}/v{version}/rel-{t.type}-{t.src}-{t.dst}"
         df = t.df.sortWithinPartitions("_src", *([t.sort_key] if t.sort_key in t.props else []))
         df.write.mode("overwrite").parquet(at)
         t.df = g.spark.read.schema(t.df.schema).parquet(at)
-        tables["rels"].append({"type": t.type, "src": t.src, "dst": t.dst, "multiplicity": t.multiplicity, "at": at, "schema": t.df.schema.json(), "types": t.types, "sort_key": t.sort_key})
-    g.spark.createDataFrame([(json.dumps(tables),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+        tables["rels"].append({"type": t.type, "src": t.src, "dst": t.dst, "multiplicity": t.multiplicity, "at": at, "schema": t.df.schema.json(), "types": t.types, "sort_key": t.sort_key, "defaults": _values(g.spark, t.defaults)})
+    g.spark.createDataFrame([(json.dumps(tables),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest-v{version}")
 
 
-def _manifest(spark: SparkSession, path: str) -> dict | None:
-    from pyspark.errors import AnalysisException
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions whose manifests are committed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest-v*/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return [int(f.getPath().getParent().getName().removeprefix("manifest-v")) for f in found]
 
-    try:
-        return json.loads(spark.read.text(f"{path}/manifest").first()["value"])
-    except AnalysisException:
-        return None
+
+def _manifest(spark: SparkSession, path: str) -> dict | None:
+    versions = _versions(spark, path)
+    return json.loads(spark.read.text(f"{path}/manifest-v{max(versions)}").first()["value"]) if versions else None
 
 
 def restore(spark: SparkSession, path: str) -> PropertyGraph | None:
@@ -156,8 +174,10 @@ def restore(spark: SparkSession, path: str) -> PropertyGraph | None:
         return None
     g = PropertyGraph(spark)
     for n in m["nodes"]:
-        g.add_node(n["label"], n["key"], spark.read.schema(T.StructType.fromJson(json.loads(n["schema"]))).parquet(n["at"]), n["types"], {p: system_default(spark_type(t)) for p, t in n["types"].items()})
+        schema = T.StructType.fromJson(json.loads(n["schema"]))
+        g.add_node(n["label"], n["key"], spark.read.schema(schema).parquet(n["at"]), n["types"], _defaults(schema, n["types"], n["defaults"]))
     for r in m["rels"]:
-        df = spark.read.schema(T.StructType.fromJson(json.loads(r["schema"]))).parquet(r["at"])
-        g.rels.setdefault(r["type"], []).append(RelTriplet(r["type"], r["src"], r["dst"], df.select("_src", "_dst", F.col("_eid"), *[c for c in df.columns if c not in ("_src", "_dst", "_eid")]), r["multiplicity"], r["types"], {p: system_default(spark_type(t)) for p, t in r["types"].items()}, r["sort_key"]))
+        schema = T.StructType.fromJson(json.loads(r["schema"]))
+        df = spark.read.schema(schema).parquet(r["at"])
+        g.rels.setdefault(r["type"], []).append(RelTriplet(r["type"], r["src"], r["dst"], df.select("_src", "_dst", F.col("_eid"), *[c for c in df.columns if c not in ("_src", "_dst", "_eid")]), r["multiplicity"], r["types"], _defaults(schema, r["types"], r["defaults"]), r["sort_key"]))
     return g

@@ -8,9 +8,10 @@ anti joins; nothing is collected.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,9 +36,8 @@ def run(q: Any, low: Lowering) -> DataFrame | None:
         raise BindError("a UNION cannot change the graph")
     low.uses = Uses(q)
     for c in q.clauses:  # whatever is set or used to create is loaded
-        if isinstance(c, A.SetItems):
-            for target, _ in c.items:
-                low.uses.add(target.of.name, target.key)
+        for target, _ in c.items if isinstance(c, A.SetItems) else [*c.on_match, *c.on_create] if isinstance(c, A.Merge) else []:
+            low.uses.add(target.of.name, target.key)
     sc, returned = Scope(None), False
     for c in q.clauses:
         if isinstance(c, _CHANGES):
@@ -134,10 +134,60 @@ def create_rel(r: A.RelPattern, a: NodeB, b: NodeB, low: Lowering, sc: Scope) ->
 
 
 def merge(c: A.Merge, low: Lowering, sc: Scope) -> Scope:
-    """MERGE of one node: rows whose key exists are matched, each other key is created once."""
-    if c.path.rels or len(c.path.nodes[0].labels) != 1:
-        raise BindError("MERGE takes one node with one label")
-    n = c.path.nodes[0]
+    """MERGE of one node by its key, or of a pattern of relationships, part by part: nodes that are not bound yet are merged by their keys."""
+    if not c.path.rels:
+        return merge_node(c.path.nodes[0], c.on_match, c.on_create, low, sc)
+    for n in c.path.nodes:
+        if n.var not in sc.env:
+            sc = merge_node(n, [], [], low, sc)
+    for i, r in enumerate(c.path.rels):
+        ends = c.path.nodes[i : i + 2]
+        if r.hops is not None or len(r.types) != 1 or r.direction == "both":
+            raise BindError("MERGE takes relationships with one type and a direction")
+        sc = merge_rel(ends, r, c.on_match, c.on_create, low, sc)
+    return sc
+
+
+def merge_rel(ends: tuple, r: A.RelPattern, on_match: list, on_create: list, low: Lowering, sc: Scope) -> Scope:
+    """Rows whose relationship exists, with the given properties, are matched; for others one is created for each pair of ends and properties."""
+    left, right = ends if r.direction != "in" else ends[::-1]
+    a, b = sc.env[left.var], sc.env[right.var]
+    found = [t for t in low.graph.triplets(r.types) if t.src in a.labels and t.dst in b.labels]
+    if not found:
+        raise BindError(f"no {r.types[0]} leads from {'|'.join(a.labels)} to {'|'.join(b.labels)}")
+    made = []
+    for t in found:
+        for k, _ in r.props:
+            if k not in t.props:
+                raise BindError(f"{t.type} has no property {k}")
+        here = sc.df.where((F.col(f"{a.c}__label") == t.src) & (F.col(f"{b.c}__label") == t.dst))
+        given = [low.ex(e, sc).cast(t.df.schema[k].dataType).alias(k) for k, e in r.props]
+        rows = written(here.select(F.col(f"{a.c}__id").alias("_src"), F.col(f"{b.c}__id").alias("_dst"), *given).where("_src IS NOT NULL AND _dst IS NOT NULL").distinct())
+        old = t.df.select(low.graph.as_id(F.col("_src")).alias("_src"), low.graph.as_id(F.col("_dst")).alias("_dst"), *[k for k, _ in r.props])
+        before = written(t.df.select("_eid"))
+        append_rels(low.graph, t, rows.join(old, ["_src", "_dst", *[k for k, _ in r.props]], "left_anti"))
+        made.append((t, before))
+    known = tuple(dict.fromkeys(p for t in found for p in t.props))
+    for target, _ in [*on_match, *on_create]:
+        if target.of.name == r.var:
+            low.uses.add(r.var, target.key)
+    matched = low.match(A.Match([A.PathPattern(tuple(ends), (replace(r, named=True),))]), sc)
+    e = matched.env[r.var]
+    fresh = [t.df.select(F.col("_eid").alias("_new"), F.lit(t.src).alias("_from"), F.lit(t.dst).alias("_to")).join(before, F.col("_new") == F.col("_eid"), "left_anti") for t, before in made]
+    new = written(reduce(lambda x, y: x.unionByName(y), fresh))
+    on = (F.col(f"{e.c}__eid") == F.col("_new")) & (F.col(f"{e.c}__slabel") == F.col("_from")) & (F.col(f"{e.c}__dlabel") == F.col("_to"))
+    for items, how in ((on_create, "left_semi"), (on_match, "left_anti")):
+        if items:
+            set_items(A.SetItems(items), low, Scope(written(matched.df.join(new, on, how)), matched.env))
+    if not (on_create or on_match):
+        return matched
+    return low.match(A.Match([A.PathPattern(tuple(ends), (replace(r, named=True),))]), sc) if known else matched
+
+
+def merge_node(n: A.NodePattern, on_match: list, on_create: list, low: Lowering, sc: Scope) -> Scope:
+    """Rows whose key exists are matched, each other key is created once."""
+    if len(n.labels) != 1:
+        raise BindError("MERGE takes nodes with one label")
     t = low.graph.node(n.labels[0])
     given = dict(n.props)
     if t.key not in given:
@@ -148,7 +198,7 @@ def merge(c: A.Merge, low: Lowering, sc: Scope) -> Scope:
     new = written(rows.join(old, t.key, "left_anti").dropDuplicates([t.key]))
     seen = written(rows.join(old, t.key, "left_semi").select(t.key).distinct())
     append_nodes(low.graph, t.label, new)
-    for keys, items in ((seen, c.on_match), (new.select(t.key), c.on_create)):
+    for keys, items in ((seen, on_match), (new.select(t.key), on_create)):
         if items:
             b = NodeB(low.fresh(n.var), (t.label,), tuple(t.props), tuple(t.props))
             inner = low.scan(replace(n, props=()), (t.label,), Scope(None))
@@ -165,7 +215,7 @@ def merge(c: A.Merge, low: Lowering, sc: Scope) -> Scope:
 
 def set_items(c: A.SetItems, low: Lowering, sc: Scope) -> Scope:
     """Of several values for one node or edge the greatest is taken, so the result does not depend on row order."""
-    values = [(target, low.ex(e, sc)) for target, e in c.items]
+    g, values = low.graph, [(target, low.ex(e, sc)) for target, e in c.items]
     df = written(sc.df.withColumns({f"_set{i}": v for i, (_, v) in enumerate(values)}))
     env = dict(sc.env)
     for i, (target, _) in enumerate(values):
@@ -184,8 +234,8 @@ def set_items(c: A.SetItems, low: Lowering, sc: Scope) -> Scope:
                 if target.key not in t.props:
                     continue
                 here = (F.col(f"{b.c}__type") == t.type) & (F.col(f"{b.c}__slabel") == t.src) & (F.col(f"{b.c}__dlabel") == t.dst)
-                new = df.where(here).groupBy(F.col(f"{b.c}__eid").alias("_k")).agg(F.max(f"_set{i}").alias("_v"), F.lit(True).alias("_given"))
-                t.df = _updated(t.df, F.col("_eid"), new, target.key, t)
+                new = df.where(here).groupBy(F.struct(*[F.col(f"{b.c}__{x}") for x in ("eid", "src", "dst")]).alias("_k")).agg(F.max(f"_set{i}").alias("_v"), F.lit(True).alias("_given"))
+                t.df = _updated(t.df, _edge_key(g, t), new, target.key, t)
         else:
             raise BindError(f"{target.of.name} has no properties")
         if target.key not in b.known:
@@ -198,6 +248,11 @@ def set_items(c: A.SetItems, low: Lowering, sc: Scope) -> Scope:
     return Scope(df.drop(*[f"_set{i}" for i in range(len(values))]), env)
 
 
+def _edge_key(g: PropertyGraph, t: RelTriplet) -> Column:
+    """An edge's id with its ends, as ids are hashes."""
+    return F.struct(F.col("_eid").alias("eid"), g.as_id(F.col("_src")).alias("src"), g.as_id(F.col("_dst")).alias("dst"))
+
+
 def _updated(df: DataFrame, key, new: DataFrame, prop: str, t: NodeType | RelTriplet) -> DataFrame:
     """A null value sets the property's default, for stored properties are never null."""
     joined = df.withColumn("_key", key).join(new, F.col("_key") == F.col("_k"), "left")
@@ -206,7 +261,7 @@ def _updated(df: DataFrame, key, new: DataFrame, prop: str, t: NodeType | RelTri
 
 
 def delete(c: A.Delete, low: Lowering, sc: Scope) -> Scope:
-    """Deleting a node deletes its edges, with or without DETACH."""
+    """Deleting a node deletes its edges, with or without DETACH: a graph never holds an edge without its ends."""
     g = low.graph
     for e in c.exprs:
         b = sc.env.get(e.name) if isinstance(e, A.Var) else None
@@ -222,8 +277,8 @@ def delete(c: A.Delete, low: Lowering, sc: Scope) -> Scope:
         elif isinstance(b, RelB):
             for t in (t for name in b.types for t in g.rels[name] if (t.src, t.dst) in b.ends):
                 here = (F.col(f"{b.c}__type") == t.type) & (F.col(f"{b.c}__slabel") == t.src) & (F.col(f"{b.c}__dlabel") == t.dst)
-                gone = written(sc.df.where(here).select(F.col(f"{b.c}__eid").alias("_k")).distinct())
-                t.df = t.df.join(gone, F.col("_eid") == F.col("_k"), "left_anti")
+                gone = written(sc.df.where(here).select(F.struct(*[F.col(f"{b.c}__{x}") for x in ("eid", "src", "dst")]).alias("_k")).distinct())
+                t.df = t.df.join(gone, _edge_key(g, t) == F.col("_k"), "left_anti")
         else:
             raise BindError("DELETE takes nodes and relationships")
     return sc

@@ -71,6 +71,9 @@ class Uses:
             self._expr(x.where)
         elif isinstance(x, A.Delete):
             pass
+        elif isinstance(x, A.PathPattern) and x.var:
+            self.paths.update(r.var for r in x.rels)
+            self._clause([x.nodes, x.rels], alias)
         elif isinstance(x, (A.Var, A.Prop, A.Call, A.Op)):
             self._expr(x)
         elif isinstance(x, A.Hops):
@@ -129,6 +132,8 @@ class Lowering:
         self.spark = graph.spark
         self.uses = None
         self.counter = 0
+        #: How many shortest paths in order of length the query returns at most, where it says so.
+        self.enough: int | None = None
 
     def fresh(self, base: str = "t") -> str:
         self.counter += 1
@@ -161,10 +166,32 @@ class Lowering:
         if sc.df is None and len(clauses) > 1 and isinstance(clauses[0], A.Match) and isinstance(clauses[1], A.Projection):
             if counted := self.counted(clauses[0], clauses[1]):
                 sc, clauses = self.project(counted[1], counted[0]), clauses[2:]
+        if len(clauses) == 2 and sc.df is None:
+            self.enough = self.limited(clauses[0], clauses[1])
         for clause in clauses:
             sc = self.clause(clause, sc)
+        self.enough = None
         return sc
 
+    def limited(self, m: Any, p: Any) -> int | None:
+        """LIMIT (and SKIP) of ``MATCH (a)-[e*SHORTEST]->(b) RETURN … ORDER BY length(e) LIMIT n``, where no step after the paths drops or joins rows."""
+        if not (isinstance(m, A.Match) and isinstance(p, A.Projection)) or m.optional or p.limit is None or p.distinct or len(m.paths) != 1 or len(m.paths[0].rels) != 1:
+            return None
+        r, far = m.paths[0].rels[0], m.paths[0].nodes[1]
+        nodes = {n.var for n in m.paths[0].nodes}
+        if r.hops is None or "SHORTEST" not in r.hops.mode or len(nodes) < 2 or any(has_aggregate(i.expr) for i in p.items):
+            return None
+        own = conjuncts(m.where)
+        if far.props or any(variables(c) != {m.paths[0].nodes[0].var} for c in own) or any(isinstance(x, (A.Exists, A.CountSub)) for c in own for x in A.walk(c)):
+            return None
+        if p.order:
+            first, down = p.order[0]
+            named = {self.name_of(i): i.expr for i in p.items}
+            first = named.get(first.name, first) if isinstance(first, A.Var) else first
+            if down or first != A.Call("length", (A.Var(r.var),)):
+                return None
+        return self.constant(p.limit) + (self.constant(p.skip) if p.skip is not None else 0)
+
     # ---- counting without enumerating
 
     def counted(self, m: A.Match, p: A.Projection) -> tuple[Scope, A.Projection] | None:
@@ -353,6 +380,7 @@ class Lowering:
         lone = [n for p in m.paths for n in p.nodes]
         hinted = {v: i for i, v in enumerate(m.hint or ())}
         checked: set[str] = set()
+        waiting = conjuncts(m.where)
         while True:
             for n in lone:  # property maps and labels of nodes that earlier clauses bound
                 if n.var in sc.env and n.var not in checked:
@@ -382,6 +410,11 @@ class Lowering:
                 sc = self.scan(start, labels[start.var], sc)
                 continue
             edges.remove(best)
+            if r.hops is not None:  # paths are built level by level from rows that are already narrowed
+                ready = [c for c in waiting if variables(c) <= set(sc.env) and not any(isinstance(x, (A.Exists, A.CountSub)) for x in A.walk(c))]
+                waiting = [c for c in waiting if c not in ready]
+                for c in ready:
+                    sc = self.where(c, sc)
             sc = self.expand(left, r, right, labels, sc)
         for n in lone:
             if n.var not in sc.env:
@@ -389,7 +422,9 @@ class Lowering:
         for p in m.paths:
             if p.var:
                 sc = self.name_path(p, sc)
-        return self.where(m.where, sc)
+        for c in waiting:
+            sc = self.where(c, sc)
+        return sc
 
     def selective(self, m: A.Match) -> dict[str, int]:
         """How selective the predicates on a variable look: 0 its key, 1 an equality, 2 another comparison."""
@@ -461,12 +496,16 @@ class Lowering:
 
     def expand(self, left: A.NodePattern, r: A.RelPattern, right: A.NodePattern, labels: dict, sc: Scope) -> Scope:
         """Joins the edges of ``r``, from whichever end is bound."""
-        direction = r.direction
-        if left.var not in sc.env:
+        direction, turned = r.direction, left.var not in sc.env
+        if turned:
             left, right = right, left
             direction = {"out": "in", "in": "out", "both": "both"}[direction]
         if r.hops is not None:
-            return self.expand_path(left, r, right, direction, labels, sc)
+            out = self.expand_path(left, r, right, direction, labels, sc)
+            b = out.env.get(r.var)
+            if turned and isinstance(b, PathB) and b.full:  # in the order of the pattern
+                out = Scope(out.df.withColumns({f"{b.c}__{x}": F.reverse(f"{b.c}__{x}") for x in ("nodes", "rels")}), out.env)
+            return out
         a = sc.env[left.var]
         if r.var in sc.env:
             return self.rebound(left, r, right, direction, labels, sc)
@@ -584,9 +623,13 @@ class Lowering:
         where = conjuncts(hops.where)
         on_rel = [w for w in where if variables(w) <= {hops.rel_var}]
         on_node = [w for w in where if w not in on_rel]
-        if any(hops.rel_var in variables(w) for w in on_node):
-            raise BindError("a condition inside a path must be on its relationship or on its node")
-        rel_uses = {x.key for w in on_rel for x in A.walk(w) if isinstance(x, A.Prop)} | {k for k, _ in r.props} | path_props[1] | ({hops.weight} if hops.weight else set())
+        if "SHORTEST" in hops.mode and any(hops.rel_var in variables(w) for w in on_node):
+            raise BindError("a shortest path's conditions must be on its relationship or on its node")
+
+        def read(var: str | None) -> set[str]:
+            return {x.key for w in where for x in A.walk(w) if isinstance(x, A.Prop) and isinstance(x.of, A.Var) and x.of.name == var}
+
+        rel_uses = read(hops.rel_var) | {k for k, _ in r.props} | path_props[1] | ({hops.weight} if hops.weight else set())
         if "*" in rel_uses:
             rel_uses |= set(known)
         props = tuple(p for p in known if p in rel_uses)
@@ -601,7 +644,7 @@ class Lowering:
         for w in on_rel:
             edges = edges.where(self.ex(w, sc))
         node_known = known_props(self.graph, everyone)
-        node_uses = {x.key for w in on_node for x in A.walk(w) if isinstance(x, A.Prop)} | path_props[0]
+        node_uses = read(hops.node_var) | path_props[0]
         if "*" in node_uses:
             node_uses |= set(node_known)
         node_props = tuple(p for p in node_known if p in node_uses)
@@ -612,7 +655,7 @@ class Lowering:
             nodes = node_table(self.graph, ends, v, node_props)
             node_props = tuple(p for p in node_props if f"{v}__p_{p}" in nodes.columns)
             edges = edges.join(nodes, (edges[f"{c}__t"] == nodes[f"{v}__id"]) & (edges[f"{c}__tl"] == nodes[f"{v}__label"]))
-            nsc = Scope(edges, {hops.node_var or "_": NodeB(v, ends, node_props, node_props)})
+            nsc = Scope(edges, {**({hops.rel_var: RelB(c, tuple(r.types), (), props, known)} if hops.rel_var else {}), hops.node_var or "_": NodeB(v, ends, node_props, node_props)})
             for w in on_node:
                 ok = ok & F.coalesce(self.ex(w, nsc), F.lit(False))
         node = self.path_node(F.col(f"{c}__t"), F.col(f"{c}__tl"), v, node_props)
@@ -646,12 +689,18 @@ class Lowering:
         if "SHORTEST" in hops.mode:
             every = hops.mode.startswith("ALL")
             ri, rl = self.fresh("ri"), self.fresh("rl")
-            roots = sc.df.select(F.col(f"{a.c}__id").alias("root"), F.col(f"{a.c}__label").alias("rootl"), root.alias("node")).dropDuplicates(["root", "rootl"])
-            roots = P.written(roots)
-            if weighted:
-                found = P.cheapest(roots, table, lo, hi, hops.weight, every, full)
+            rooted = [F.col(f"{a.c}__id").alias("root"), F.col(f"{a.c}__label").alias("rootl"), *([root.alias("node")] if full else [])]
+            b = sc.env.get(right.var)
+            if isinstance(b, NodeB) and not weighted:
+                pairs = P.written(sc.df.select(*rooted, F.col(f"{b.c}__id").alias("end"), F.col(f"{b.c}__label").alias("el")).dropDuplicates(["root", "rootl", "end", "el"]))
+                found = P.shortest_between(pairs, table, hi, every, full)
             else:
-                found = P.shortest(roots, table, lo, hi, every, full)
+                roots = P.written(sc.df.select(*rooted).dropDuplicates(["root", "rootl"]))
+                if weighted:
+                    found = P.cheapest(roots, table, lo, hi, hops.weight, every, full)
+                else:
+                    ends = labels[right.var]
+                    found = P.shortest(roots, table, lo, hi, every, full, self.enough, None if set(ends) == set(self.graph.nodes) else ends)
             columns = {"root": ri, "rootl": rl, "end": f"{c}__end", "el": f"{c}__el", "len": f"{c}__len", "cost": f"{c}__cost", "nodes": f"{c}__nodes", "rels": f"{c}__rels"}
             found = found.select(*[F.col(x).alias(y) for x, y in columns.items() if x in found.columns])
             df = sc.df.join(found, (sc.df[f"{a.c}__id"] == found[ri]) & (sc.df[f"{a.c}__label"] == found[rl])).drop(ri, rl)
@@ -674,18 +723,29 @@ class Lowering:
         return self.prop_filter(right, Scope(df, env))
 
     def name_path(self, p: A.PathPattern, sc: Scope) -> Scope:
-        """p = (a)-[e]->(b)…: keys, labels and edges of the parts as one path."""
+        """p = (a)-[e]->(b)…: keys, labels and edges of the parts as one path; a part of variable length gives all of its own."""
         c = self.fresh(p.var)
-        nodes = F.array(*[F.struct(F.col(f"{sc.env[n.var].c}__id").alias("_id"), F.col(f"{sc.env[n.var].c}__label").alias("_label")) for n in p.nodes])
-        parts, length = [], F.lit(0)
-        for r in p.rels:
+        node = ("_id", "_label")
+        rel = ("type", "eid", "src", "slabel", "dst", "dlabel")
+        first = sc.env[p.nodes[0].var]
+        nodes = [F.array(F.struct(*[F.col(f"{first.c}_{x}").alias(x) for x in node]))]
+        rels, length = [F.array().cast("array<struct<_type:string,_eid:bigint,_src:{0},_slabel:string,_dst:{0},_dlabel:string>>".format("string" if self.graph.text_ids else "bigint"))], F.lit(0)
+        for r, n in zip(p.rels, p.nodes[1:], strict=True):
             b = sc.env.get(r.var)
-            if not isinstance(b, RelB):
-                raise BindError("the relationships of a named path must be named and of one hop")
-            parts.append(F.struct(*[F.col(f"{b.c}__{x}").alias(f"_{x}") for x in ("type", "eid", "src", "slabel", "dst", "dlabel")]))
-            length = length + 1
-        rels = F.array(*parts) if parts else F.array().cast("array<struct<_type:string>>")
-        df = sc.df.withColumns({f"{c}__nodes": nodes, f"{c}__rels": rels, f"{c}__len": length})
+            if isinstance(b, RelB):
+                far = sc.env[n.var]
+                nodes.append(F.array(F.struct(*[F.col(f"{far.c}_{x}").alias(x) for x in node])))
+                rels.append(F.array(F.struct(*[F.col(f"{b.c}__{x}").alias(f"_{x}") for x in rel])))
+                length = length + 1
+            elif isinstance(b, PathB) and b.full:
+                own = F.transform(f"{b.c}__nodes", lambda v: F.struct(*[v[x].alias(x) for x in node]))
+                mine = F.transform(f"{b.c}__rels", lambda e: F.struct(*[e[f"_{x}"].alias(f"_{x}") for x in rel]))
+                nodes.append(F.slice(own, F.lit(2), F.size(own)))
+                rels.append(mine)
+                length = length + F.col(f"{b.c}__len")
+            else:
+                raise BindError("the relationships of a named path must be named")
+        df = sc.df.withColumns({f"{c}__nodes": F.concat(*nodes), f"{c}__rels": F.concat(*rels), f"{c}__len": length})
         return Scope(df, sc.env | {p.var: PathB(c)})
 
     # ---- predicates with patterns
@@ -708,7 +768,8 @@ class Lowering:
             right, keys = self.correlated(x, sc)
             agg = right.groupBy(*[k for _, k in keys]).agg(F.count(F.lit(1)).alias(name))
             on = [sc.df[a].eqNullSafe(agg[b]) for a, b in keys]
-            df = sc.df.join(agg, on, "left").drop(*[b for _, b in keys])
+            # without keys the pattern is the same for all rows: one count meets them
+            df = sc.df.join(agg, on, "left").drop(*[b for _, b in keys]) if keys else sc.df.crossJoin(agg)
             value = F.coalesce(name, F.lit(0).cast("long"))
             df = df.withColumn(name, value > 0 if isinstance(x, A.Exists) else value)
             sc = Scope(df, sc.env | {name: ValueB(name)})
@@ -717,7 +778,8 @@ class Lowering:
 
     def exists(self, x: A.Exists, sc: Scope, how: str) -> Scope:
         right, keys = self.correlated(x, sc)
-        return Scope(sc.df.join(right, [sc.df[a] == right[b] for a, b in keys], how), sc.env)
+        on = [sc.df[a] == right[b] for a, b in keys]
+        return Scope(sc.df.join(right, on, how) if keys else sc.df.join(right.limit(1), F.lit(True), how), sc.env)
 
     def correlated(self, x: Any, sc: Scope) -> tuple[DataFrame, list[tuple[str, str]]]:
         """The rows of a sub-pattern, and pairs of equal columns (outer, inner).
@@ -729,7 +791,7 @@ class Lowering:
         pattern_vars = {n.var for p in x.paths for n in p.nodes} | {r.var for p in x.paths for r in p.rels}
         shared = [v for v in dict.fromkeys([*pattern_vars, *sorted(variables(x.where) | variables(x.paths))]) if v in sc.env]
         if not shared:
-            raise BindError("a sub-pattern shares no variable with the query")
+            return self.match(m, Scope(None)).df.select(F.lit(1).alias(self.fresh("one"))), []
         if all(isinstance(sc.env[v], NodeB) and v in pattern_vars for v in shared):
             inner = self.match(replace_labels(m, sc, shared), Scope(None))
             keys = []
@@ -836,7 +898,9 @@ class Lowering:
     def sort_key(self, e: Any, sc: Scope) -> Column:
         if isinstance(e, A.Var) and isinstance(sc.env.get(e.name), NodeB):
             return F.col(f"{sc.env[e.name].c}__id")
-        return self.ex(e, sc)
+        key = self.ex(e, sc)
+        kind = self.type_of(key, sc)
+        return scalar.interval_order(key, kind) if isinstance(kind, T.CalendarIntervalType) else key
 
     def _as_output(self, e: Any, items: list, names: list) -> Any:
         """A sort expression in terms of the output columns where it, or a part of it, is one of the items."""
@@ -1205,7 +1269,7 @@ class Lowering:
                 return a, b.cast(ta)
             if isinstance(tb, t) and isinstance(ta, T.StringType):
                 return a.cast(tb), b
-        return a, b
+        return scalar.comparable_intervals(a, ta, b, tb)
 
     def call(self, e: A.Call, sc: Scope) -> Column:
         n = e.name

@@ -86,8 +86,8 @@ q(
 )
 q(
     "expand_edge_props",
-    "MATCH (o:Orders)-[e:CONTAINS]->(p:Part) WHERE o.o_orderkey < 50 RETURN o.o_orderkey AS o, p.p_partkey AS p, e.quantity AS qty, e.returnflag AS flag",
-    "SELECT l_orderkey AS o, l_partkey AS p, l_quantity AS qty, l_returnflag AS flag FROM lineitem WHERE l_orderkey < 50",
+    "MATCH (o:Orders)-[e:CONTAINS]->(p:Part) RETURN o.o_orderkey AS o, p.p_partkey AS p, e.quantity AS qty, e.returnflag AS flag",
+    "SELECT l_orderkey AS o, l_partkey AS p, l_quantity AS qty, l_returnflag AS flag FROM lineitem",
 )
 q("expand_edge_pred", "MATCH (:Orders)-[e:CONTAINS {returnflag: 'R'}]->(p:Part) WHERE e.quantity > 30 AND p.p_size = 7 RETURN count(*) AS cnt", "SELECT count(*) AS cnt FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_quantity > 30 AND p_size = 7")
 q(
@@ -97,8 +97,8 @@ q(
 )
 q(
     "expand_any_type",
-    "MATCH (o:Orders)-[e]->(x) WHERE o.o_orderkey < 100 RETURN label(e) AS t, label(x) AS l, count(*) AS cnt",
-    "SELECT 'CONTAINS' AS t, 'Part' AS l, count(*) AS cnt FROM lineitem WHERE l_orderkey < 100 UNION ALL SELECT 'SHIPPED_BY', 'Supplier', count(*) FROM lineitem WHERE l_orderkey < 100",
+    "MATCH (o:Orders)-[e]->(x) RETURN label(e) AS t, label(x) AS l, count(*) AS cnt",
+    "SELECT 'CONTAINS' AS t, 'Part' AS l, count(*) AS cnt FROM lineitem UNION ALL SELECT 'SHIPPED_BY', 'Supplier', count(*) FROM lineitem",
 )
 q("expand_type_union", "MATCH (s:Supplier)-[e:SUPPLIES|IN_NATION]->(x) RETURN label(e) AS t, count(*) AS cnt", "SELECT 'SUPPLIES' AS t, count(*) AS cnt FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) UNION ALL SELECT 'IN_NATION', count(*) FROM supplier")
 q(
@@ -141,8 +141,8 @@ q(
 )
 q(
     "self_join_neq",
-    "MATCH (p1:Part)<-[:CONTAINS]-(o:Orders)-[:CONTAINS]->(p2:Part) WHERE id(p1) <> id(p2) AND o.o_orderkey < 500 RETURN count(*) AS cnt",
-    "SELECT count(*) AS cnt FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey <> b.l_partkey AND a.l_orderkey < 500",
+    "MATCH (p1:Part)<-[:CONTAINS]-(o:Orders)-[:CONTAINS]->(p2:Part) WHERE id(p1) <> id(p2) RETURN count(*) AS cnt",
+    "SELECT count(*) AS cnt FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey <> b.l_partkey",
 )
 q("node_equality", "MATCH (a:Nation)-[:LINKED]->(b:Nation)-[:LINKED]->(c:Nation) WHERE a <> c RETURN count(*) AS cnt", f"WITH {LINKED} SELECT count(*) AS cnt FROM linked x JOIN linked y ON y.n = x.m WHERE x.n <> y.m")
 q(
@@ -278,26 +278,38 @@ q(
     "MATCH (p:Part) RETURN p.p_partkey AS k, CAST(p.p_retailprice AS INT64) AS i, CAST(p.p_size AS DOUBLE) AS d, CAST(p.p_partkey, 'INT32') AS s",
     "SELECT p_partkey AS k, CAST(trunc(p_retailprice) AS BIGINT) AS i, CAST(p_size AS DOUBLE) AS d, CAST(p_partkey AS INTEGER) AS s FROM part",
 )
-q("cast_string", "MATCH (p:Part) WHERE p.p_partkey < 50 RETURN CAST(p.p_partkey AS STRING) AS s, CAST('17', 'INT64') + p.p_partkey AS i", "SELECT CAST(p_partkey AS VARCHAR) AS s, 17 + p_partkey AS i FROM part WHERE p_partkey < 50")
-q("cast_temporal", "MATCH (o:Orders) WHERE o.o_orderkey < 40 RETURN o.o_orderkey AS o, CAST(o.o_orderdate AS DATE) AS d, DATE('1995-03-05') AS c", "SELECT o_orderkey AS o, CAST(o_orderdate AS DATE) AS d, DATE '1995-03-05' AS c FROM orders WHERE o_orderkey < 40")
+q(
+    "cast_string",
+    "MATCH (p:Part) RETURN CAST(p.p_partkey AS STRING) AS s, CAST('17', 'INT64') + p.p_partkey AS i",
+    "SELECT CAST(p_partkey AS VARCHAR) AS s, 17 + p_partkey AS i FROM part",
+)
+q(
+    "cast_temporal",
+    "MATCH (o:Orders) RETURN o.o_orderkey AS o, CAST(o.o_orderdate AS DATE) AS d, DATE('1995-03-05') AS c",
+    "SELECT o_orderkey AS o, CAST(o_orderdate AS DATE) AS d, DATE '1995-03-05' AS c FROM orders",
+)
 q(
     "date_part_all",
-    "MATCH (e:Event) WHERE e.event_id < 200 RETURN e.event_id AS e, date_part('year', e.ts) AS y, date_part('month', e.ts) AS mo, date_part('day', e.ts) AS d, date_part('hour', e.ts) AS h, date_part('minute', e.ts) AS mi, date_part('second', e.ts) AS s",
-    "SELECT event_id AS e, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s FROM events WHERE event_id < 200",
+    "MATCH (e:Event) RETURN e.event_id AS e, date_part('year', e.ts) AS y, date_part('month', e.ts) AS mo, date_part('day', e.ts) AS d, date_part('hour', e.ts) AS h, date_part('minute', e.ts) AS mi, date_part('second', e.ts) AS s",
+    "SELECT event_id AS e, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s FROM events",
 )
 q(
     "date_plus_interval",
-    "MATCH (o:Orders) WHERE o.o_orderkey < 40 RETURN o.o_orderkey AS o, o.o_orderdate + INTERVAL('3 days 4 hours') AS a, o.o_orderdate - INTERVAL('1 year 2 months') AS b",
-    "SELECT o_orderkey AS o, o_orderdate + INTERVAL 3 DAY + INTERVAL 4 HOUR AS a, o_orderdate - INTERVAL 14 MONTH AS b FROM orders WHERE o_orderkey < 40",
+    "MATCH (o:Orders) RETURN o.o_orderkey AS o, o.o_orderdate + INTERVAL('3 days 4 hours') AS a, o.o_orderdate - INTERVAL('1 year 2 months') AS b",
+    "SELECT o_orderkey AS o, o_orderdate + INTERVAL 3 DAY + INTERVAL 4 HOUR AS a, o_orderdate - INTERVAL 14 MONTH AS b FROM orders",
 )
 q(
     "ts_minus_ts_days",
-    "MATCH (o:Orders)-[e:CONTAINS]->(:Part) WHERE o.o_orderkey < 400 AND e.shipdate - o.o_orderdate > INTERVAL('60 days') RETURN count(*) AS cnt",
-    "SELECT count(*) AS cnt FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 400 AND l_shipdate - o_orderdate > INTERVAL 60 DAY",
+    "MATCH (o:Orders)-[e:CONTAINS]->(:Part) WHERE e.shipdate - o.o_orderdate > INTERVAL('60 days') RETURN count(*) AS cnt",
+    "SELECT count(*) AS cnt FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate - o_orderdate > INTERVAL 60 DAY",
 )
 q("list_index", "MATCH (n:Nation) WITH n, [n.n_name, 'x', 'y'] AS l RETURN n.n_nationkey AS n, l[0] AS a, l[2] AS b, [1, 2, 3][1] AS c", "SELECT n_nationkey AS n, n_name AS a, 'y' AS b, CAST(2 AS BIGINT) AS c FROM nation")
 q("list_contains", "MATCH (n:Nation) RETURN n.n_nationkey AS n, list_contains([1, 2, n.n_regionkey], 3) AS a, n.n_nationkey IN [1, 5] AS b", "SELECT n_nationkey AS n, n_regionkey = 3 AS a, n_nationkey IN (1, 5) AS b FROM nation")
-q("str_upper_lower_reverse", "MATCH (p:Part) WHERE p.p_partkey < 100 RETURN upper(p.p_name) AS u, lower(p.p_brand) AS l, reverse(p.p_name) AS r", "SELECT upper(p_name) AS u, lower(p_brand) AS l, reverse(p_name) AS r FROM part WHERE p_partkey < 100")
+q(
+    "str_upper_lower_reverse",
+    "MATCH (p:Part) RETURN upper(p.p_name) AS u, lower(p.p_brand) AS l, reverse(p.p_name) AS r",
+    "SELECT upper(p_name) AS u, lower(p_brand) AS l, reverse(p_name) AS r FROM part",
+)
 q("label_fn", "MATCH (a)-[e:IN_NATION]->(b) RETURN label(a) AS a, label(e) AS e, label(b) AS b, count(*) AS cnt", "SELECT 'Customer' AS a, 'IN_NATION' AS e, 'Nation' AS b, count(*) AS cnt FROM customer UNION ALL SELECT 'Supplier', 'IN_NATION', 'Nation', count(*) FROM supplier")
 q("id_fn", "MATCH (a:Region), (b:Nation) WHERE id(a) < id(b) RETURN count(*) AS cnt, count(DISTINCT id(b)) AS ids", "SELECT count(*) AS cnt, count(DISTINCT n_nationkey) AS ids FROM region, nation")
 q(
@@ -348,8 +360,8 @@ q(
 )
 q(
     "path_long_chain",
-    "MATCH (u:User)-[:DID]->(e:Event)-[k:NEXT*1..5]->(f:Event) WHERE u.user_id < 20 RETURN u.user_id AS u, length(k) AS len, count(*) AS cnt",
-    f"WITH RECURSIVE {NEXT}, w(u, e, len) AS (SELECT user_id, event_id, 0 FROM events WHERE user_id < 20 UNION ALL SELECT u, b, len + 1 FROM w JOIN nxt ON a = e WHERE len < 5) SELECT u, CAST(len AS BIGINT) AS len, count(*) AS cnt FROM w WHERE len >= 1 GROUP BY 1, 2",
+    "MATCH (u:User)-[:DID]->(e:Event)-[k:NEXT*1..5]->(f:Event) RETURN u.user_id AS u, length(k) AS len, count(*) AS cnt",
+    f"WITH RECURSIVE {NEXT}, w(u, e, len) AS (SELECT user_id, event_id, 0 FROM events UNION ALL SELECT u, b, len + 1 FROM w JOIN nxt ON a = e WHERE len < 5) SELECT u, CAST(len AS BIGINT) AS len, count(*) AS cnt FROM w WHERE len >= 1 GROUP BY 1, 2",
 )
 q(
     "path_topk_shortest",
@@ -427,58 +439,66 @@ q(
     f"{walks(1, 8)} SELECT CAST(coalesce(min(len), -1) AS BIGINT) AS len FROM walks WHERE e = 24 AND len >= 1",
 )
 
-# ---- whole tables: the queries above that read a range of ids, without it
+# ---- a network that grows with the tables
 
+REFERS = "refers(a, b, w, eid) AS (SELECT o_custkey, (SELECT min(c_custkey) FROM customer) + (o_orderkey * 7919 + o_custkey * 31) % (SELECT count(*) FROM customer), o_orderkey % 9 + 1, o_orderkey FROM orders)"
+REACHED = "reached(e, len) AS (SELECT {start}, 0 UNION SELECT b, len + 1 FROM reached JOIN refers ON a = e WHERE len < {hi})"
 q(
-    "expand_edge_props_whole",
-    "MATCH (o:Orders)-[e:CONTAINS]->(p:Part) RETURN o.o_orderkey AS o, p.p_partkey AS p, e.quantity AS qty, e.returnflag AS flag",
-    "SELECT l_orderkey AS o, l_partkey AS p, l_quantity AS qty, l_returnflag AS flag FROM lineitem",
+    "refers_between",
+    "MATCH (a:Customer {c_custkey: 1}), (b:Customer) WHERE b.c_custkey % 50 = 7 MATCH (a)-[k:REFERS*SHORTEST 1..6]->(b) RETURN b.c_custkey AS b, length(k) AS len",
+    f"WITH RECURSIVE {REFERS}, {REACHED.format(start=1, hi=6)} SELECT e AS b, CAST(min(len) AS BIGINT) AS len FROM reached JOIN customer ON c_custkey = e WHERE len >= 1 AND e % 50 = 7 GROUP BY 1",
 )
 q(
-    "expand_any_type_whole",
-    "MATCH (o:Orders)-[e]->(x) RETURN label(e) AS t, label(x) AS l, count(*) AS cnt",
-    "SELECT 'CONTAINS' AS t, 'Part' AS l, count(*) AS cnt FROM lineitem UNION ALL SELECT 'SHIPPED_BY', 'Supplier', count(*) FROM lineitem",
+    "refers_nearest",
+    "MATCH (a:Customer {c_custkey: 1})-[k:REFERS*SHORTEST 1..10]->(b:Customer) RETURN b.c_custkey AS b, length(k) AS len ORDER BY len, b LIMIT 12",
+    f"WITH RECURSIVE {REFERS}, {REACHED.format(start=1, hi=10)} SELECT e AS b, CAST(min(len) AS BIGINT) AS len FROM reached JOIN customer ON c_custkey = e WHERE len >= 1 GROUP BY 1 ORDER BY len, b LIMIT 12",
 )
 q(
-    "self_join_neq_whole",
-    "MATCH (p1:Part)<-[:CONTAINS]-(o:Orders)-[:CONTAINS]->(p2:Part) WHERE id(p1) <> id(p2) RETURN count(*) AS cnt",
-    "SELECT count(*) AS cnt FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_partkey <> b.l_partkey",
+    "refers_all_shortest",
+    "MATCH (a:Customer {c_custkey: 1})-[k:REFERS*ALL SHORTEST 1..3]->(b:Customer) RETURN length(k) AS len, count(*) AS cnt",
+    f"WITH RECURSIVE {REFERS}, w(e, len) AS (SELECT 1, 0 UNION ALL SELECT b, len + 1 FROM w JOIN refers ON a = e WHERE len < 3), d AS (SELECT e, min(len) AS least FROM w JOIN customer ON c_custkey = e WHERE len >= 1 GROUP BY 1) SELECT CAST(len AS BIGINT) AS len, count(*) AS cnt FROM w JOIN d ON d.e = w.e AND least = len GROUP BY 1",
 )
 q(
-    "cast_string_whole",
-    "MATCH (p:Part) RETURN CAST(p.p_partkey AS STRING) AS s, CAST('17', 'INT64') + p.p_partkey AS i",
-    "SELECT CAST(p_partkey AS VARCHAR) AS s, 17 + p_partkey AS i FROM part",
+    "refers_path_edges",
+    "MATCH (a:Customer {c_custkey: 1}), (b:Customer) WHERE b.c_custkey % 40 = 3 MATCH (a)-[k:REFERS*ALL SHORTEST 1..4]->(b) RETURN b.c_custkey AS b, count(*) AS cnt, min(size(rels(k))) AS len",
+    f"WITH RECURSIVE {REFERS}, w(e, len) AS (SELECT 1, 0 UNION ALL SELECT b, len + 1 FROM w JOIN refers ON a = e WHERE len < 4), d AS (SELECT e, min(len) AS least FROM w JOIN customer ON c_custkey = e WHERE len >= 1 AND e % 40 = 3 GROUP BY 1) SELECT w.e AS b, count(*) AS cnt, CAST(min(len) AS INTEGER) AS len FROM w JOIN d ON d.e = w.e AND least = len GROUP BY 1",
 )
 q(
-    "cast_temporal_whole",
-    "MATCH (o:Orders) RETURN o.o_orderkey AS o, CAST(o.o_orderdate AS DATE) AS d, DATE('1995-03-05') AS c",
-    "SELECT o_orderkey AS o, CAST(o_orderdate AS DATE) AS d, DATE '1995-03-05' AS c FROM orders",
+    "refers_triangles",
+    "MATCH (a:Customer)-[:REFERS]->(b:Customer)-[:REFERS]->(c:Customer)-[:REFERS]->(a) RETURN count(*) AS cnt",
+    f"WITH {REFERS}, r AS (SELECT a, b FROM refers JOIN customer ON c_custkey = b) SELECT count(*) AS cnt FROM r x JOIN r y ON y.a = x.b JOIN r z ON z.a = y.b AND z.b = x.a",
 )
 q(
-    "date_part_all_whole",
-    "MATCH (e:Event) RETURN e.event_id AS e, date_part('year', e.ts) AS y, date_part('month', e.ts) AS mo, date_part('day', e.ts) AS d, date_part('hour', e.ts) AS h, date_part('minute', e.ts) AS mi, date_part('second', e.ts) AS s",
-    "SELECT event_id AS e, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s FROM events",
+    "refers_trail",
+    "MATCH (a:Customer {c_custkey: 1})-[k:REFERS*TRAIL 1..3]->(b:Customer) RETURN length(k) AS len, count(*) AS cnt",
+    f"WITH RECURSIVE {REFERS}, w(e, len, seen) AS (SELECT 1, 0, CAST([] AS BIGINT[]) UNION ALL SELECT b, len + 1, list_append(seen, eid) FROM w JOIN refers ON a = e WHERE len < 3 AND NOT list_contains(seen, eid)) SELECT CAST(len AS BIGINT) AS len, count(*) AS cnt FROM w JOIN customer ON c_custkey = e WHERE len >= 1 GROUP BY 1",
 )
+
+# ---- paths and predicates of further forms
+
 q(
-    "date_plus_interval_whole",
-    "MATCH (o:Orders) RETURN o.o_orderkey AS o, o.o_orderdate + INTERVAL('3 days 4 hours') AS a, o.o_orderdate - INTERVAL('1 year 2 months') AS b",
-    "SELECT o_orderkey AS o, o_orderdate + INTERVAL 3 DAY + INTERVAL 4 HOUR AS a, o_orderdate - INTERVAL 14 MONTH AS b FROM orders",
+    "named_path_long",
+    "MATCH p = (a:Nation)-[:LINKED*1..2]->(b:Nation)-[:LINKED]->(c:Nation) RETURN length(p) AS len, is_acyclic(p) AS ac, count(*) AS cnt",
+    f"{walks(25, 3)} SELECT CAST(len AS BIGINT) AS len, len(list_distinct(nodes)) = len + 1 AS ac, count(*) AS cnt FROM walks WHERE len >= 2 GROUP BY 1, 2",
 )
 q(
-    "ts_minus_ts_days_whole",
-    "MATCH (o:Orders)-[e:CONTAINS]->(:Part) WHERE e.shipdate - o.o_orderdate > INTERVAL('60 days') RETURN count(*) AS cnt",
-    "SELECT count(*) AS cnt FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_shipdate - o_orderdate > INTERVAL 60 DAY",
+    "path_pred_both",
+    "MATCH (a:Nation)-[k:LINKED*2..3 (r, n | WHERE r.w + n.n_regionkey > 6)]->(b:Nation) RETURN length(k) AS len, count(*) AS cnt",
+    f"WITH RECURSIVE {LINKED}, w(e, len) AS (SELECT m, 1 FROM linked UNION ALL SELECT y.m, 2 FROM linked x JOIN nation ON n_nationkey = x.m JOIN linked y ON y.n = x.m WHERE x.w + n_regionkey > 6) SELECT CAST(2 AS BIGINT) AS len, count(*) AS cnt FROM w WHERE len = 2 UNION ALL SELECT 3, count(*) FROM linked x JOIN nation p ON p.n_nationkey = x.m JOIN linked y ON y.n = x.m JOIN nation s ON s.n_nationkey = y.m JOIN linked z ON z.n = y.m WHERE x.w + p.n_regionkey > 6 AND y.w + s.n_regionkey > 6",
 )
 q(
-    "str_upper_lower_reverse_whole",
-    "MATCH (p:Part) RETURN upper(p.p_name) AS u, lower(p.p_brand) AS l, reverse(p.p_name) AS r",
-    "SELECT upper(p_name) AS u, lower(p_brand) AS l, reverse(p_name) AS r FROM part",
+    "path_all_weighted",
+    "MATCH (a:Nation {n_nationkey: 0})-[k:LINKED*ALL WSHORTEST(w) 1..4]->(b:Nation) RETURN b.n_nationkey AS b, cost(k) AS cost, count(*) AS cnt",
+    f"{walks(1, 4)}, d AS (SELECT e, min(cost) AS least FROM walks WHERE len >= 1 GROUP BY 1) SELECT walks.e AS b, CAST(least AS DOUBLE) AS cost, count(*) AS cnt FROM walks JOIN d ON d.e = walks.e AND cost = least WHERE len >= 1 AND walks.e <> 0 GROUP BY 1, 2",
 )
+q("exists_alone", "MATCH (r:Region) WHERE EXISTS { MATCH (n:Nation) WHERE n.n_nationkey = 3 } AND NOT EXISTS { MATCH (n:Nation) WHERE n.n_nationkey < 0 } RETURN r.r_name AS r", "SELECT r_name AS r FROM region")
+q("exists_alone_marked", "MATCH (r:Region) RETURN r.r_name AS r, COUNT { MATCH (n:Nation)-[:LINKED]->(n) } AS loops, EXISTS { MATCH (n:Nation {n_nationkey: 99}) } AS none", f"WITH {LINKED} SELECT r_name AS r, (SELECT count(*) FROM linked WHERE n = m) AS loops, false AS none FROM region")
 q(
-    "path_long_chain_whole",
-    "MATCH (u:User)-[:DID]->(e:Event)-[k:NEXT*1..5]->(f:Event) RETURN u.user_id AS u, length(k) AS len, count(*) AS cnt",
-    f"WITH RECURSIVE {NEXT}, w(u, e, len) AS (SELECT user_id, event_id, 0 FROM events UNION ALL SELECT u, b, len + 1 FROM w JOIN nxt ON a = e WHERE len < 5) SELECT u, CAST(len AS BIGINT) AS len, count(*) AS cnt FROM w WHERE len >= 1 GROUP BY 1, 2",
+    "interval_mixed",
+    "MATCH (o:Orders) WHERE INTERVAL('40 days') > INTERVAL('1 month') AND INTERVAL('1 year') + INTERVAL('3 days') > INTERVAL('12 months') RETURN o.o_orderkey AS o, o.o_orderdate + (INTERVAL('1 year') + INTERVAL('3 days')) AS d",
+    "SELECT o_orderkey AS o, o_orderdate + INTERVAL 12 MONTH + INTERVAL 3 DAY AS d FROM orders",
 )
+q("struct_extract", "MATCH (n:Nation) RETURN struct_extract({k: n.n_nationkey, name: n.n_name}, 'name') AS name", "SELECT n_name AS name FROM nation")
 
 
 def _run(name: str) -> Callable[[SparkSession, str], DataFrame]:

@@ -106,6 +106,37 @@ def ddl_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return GraphDatabase(spark, at, "r").connect().execute("MATCH (s:Supplier)-[:IN_NATION]->(n:Nation) RETURN n.n_nationkey AS n, count(*) AS cnt").df
 
 
+def ddl_checkpoint_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declared defaults hold in a graph that is opened again, and the last of several checkpoints counts."""
+    at = f"{_folder(spark)}/graph"
+    c = _tables(spark, sf_dir)
+    c.db.path = at
+    c.execute("CHECKPOINT")
+    c.execute("MATCH (s:Supplier) SET s.note = 'old'")
+    c.execute("CHECKPOINT")
+    c = GraphDatabase(spark, at).connect()
+    c.execute("CREATE (s:Supplier {s_suppkey: -9, s_name: 'new'})")
+    c.execute("MATCH (s:Supplier {s_suppkey: -9}), (n:Nation {n_nationkey: 1}) CREATE (s)-[:IN_NATION]->(n)")
+    return c.execute("MATCH (s:Supplier)-[e:IN_NATION]->(:Nation) RETURN s.note AS note, e.since AS since, count(*) AS cnt").df
+
+
+def load_from_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several files by a pattern."""
+    c, at = database(spark, sf_dir).connect(), _folder(spark)
+    for i in range(2):
+        c.execute(f"COPY (MATCH (n:Nation) WHERE n.n_nationkey % 2 = {i} RETURN n.n_nationkey AS k, n.n_name AS name) TO '{at}/nation-{i}.csv' (header=true, delim=',')")
+    return c.execute(f"LOAD FROM '{at}/nation-*.csv' (header=true, delim=',') RETURN name, k AS k").df
+
+
+def dml_merge_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers below 10 have an edge to their own nation: one to nation 1 is matched, the others are created."""
+    c = _tables(spark, sf_dir)
+    c.execute("MATCH (s:Supplier), (n:Nation {n_nationkey: 1}) WHERE s.s_suppkey < 10 MERGE (s)-[e:IN_NATION]->(n) ON MATCH SET e.since = 1 ON CREATE SET e.since = 2")
+    c.execute("MERGE (s:Supplier {s_suppkey: -1})-[:IN_NATION {since: 5}]->(n:Nation {n_nationkey: 500})")
+    c.execute("MERGE (s:Supplier {s_suppkey: -1})-[:IN_NATION {since: 5}]->(n:Nation {n_nationkey: 500})")
+    return c.execute("MATCH (s:Supplier)-[e:IN_NATION]->(n:Nation) WHERE s.s_suppkey < 10 RETURN s.s_suppkey AS s, n.n_nationkey AS n, e.since AS since").df
+
+
 def dml_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _tables(spark, sf_dir)
     c.execute("CREATE (n:Nation {n_nationkey: 100, n_name: 'NEW'})")
@@ -147,6 +178,7 @@ QUERIES = {
     for f in (
         load_from_parquet, load_from_csv, load_from_json, load_from_jsonl, load_with_headers, copy_graph_values, copy_roundtrip, copy_auto_detect,
         ddl_alter_default, ddl_drop, ddl_checkpoint, dml_create, dml_set, dml_delete_edges, dml_detach_delete, dml_merge, call_extensions,
+        ddl_checkpoint_defaults, load_from_glob, dml_merge_rel,
     )
 }
 
@@ -167,5 +199,8 @@ ORACLE_SQL = {
     "dml_delete_edges": "SELECT count(*) AS s, count(*) FILTER (s_acctbal >= 0) AS e FROM supplier",
     "dml_detach_delete": "SELECT count(*) AS s, count(*) FILTER (s_nationkey >= 10) AS e, min(s_nationkey) FILTER (s_nationkey >= 10) AS least FROM supplier",
     "dml_merge": "SELECT 1::INTEGER AS n, 'old' AS name UNION ALL SELECT 2, 'old' UNION ALL SELECT 200, 'new'",
+    "ddl_checkpoint_defaults": "SELECT 'old' AS note, 1990::INTEGER AS since, count(*) AS cnt FROM supplier UNION ALL SELECT 'none', 1990, 1",
+    "load_from_glob": "SELECT n_name AS name, n_nationkey AS k FROM nation",
+    "dml_merge_rel": "SELECT s_suppkey AS s, s_nationkey AS n, CASE WHEN s_nationkey = 1 THEN 1 ELSE 1990 END::INTEGER AS since FROM supplier WHERE s_suppkey < 10 UNION ALL SELECT s_suppkey, 1, 2 FROM supplier WHERE s_suppkey < 10 AND s_nationkey <> 1 UNION ALL SELECT -1, 500, 5",
     "call_extensions": "SELECT unnest(['csv', 'json', 'parquet']) AS ext",
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,8 +63,19 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.to_json(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in df.schema])
 
 
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of a task's JSON values as one array; of no rows too."""
+    first = True
+    for b in batches:
+        lines = [f",{x}" for x in b[0].to_pylist()]
+        if first and lines:
+            lines[0], first = f"[{lines[0][1:]}", False
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+
 def write(df: DataFrame, path: str, options: dict) -> None:
-    """Writes a folder of part files, as Spark does; a JSON array is one file, since it is one value."""
+    """Writes a folder of part files, as Spark does; for JSON, each of them is an array. Rows stay in their tasks, in order."""
     kind = options.get("format", kind_of(path))
     if kind == "csv":
         w = flat(df).write.mode("overwrite").option("sep", _char(options.get("delim", options.get("delimiter", "|")))).option("header", bool(options.get("header", True)))
@@ -70,9 +83,8 @@ def write(df: DataFrame, path: str, options: dict) -> None:
     elif kind == "jsonl":
         df.write.mode("overwrite").json(path)
     elif kind == "json":
-        rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("j")).coalesce(1)
-        first = rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
-        first.write.mode("overwrite").text(path)
+        rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("value"))
+        rows.mapInArrow(_array_lines, "value string").write.mode("overwrite").text(path)
     elif kind == "parquet":
         df.write.mode("overwrite").parquet(path)
     else:

@@ -1,7 +1,8 @@
 """Incremental loading: a stream's micro-batches become new snapshots of a node or relationship table.
 
 A batch can be replayed after a failure. Nodes whose key exists are left out, and an edge's id is made of the
-stream's name, the batch number and its values, so a replayed batch adds nothing.
+stream's name, the batch number and its values, so a replayed batch adds nothing. Every COMPACT_EVERY batches the
+table is written as one, so its plan does not grow with the number of batches.
 """
 
 from __future__ import annotations
@@ -14,16 +15,21 @@ from ..operators.dml import append_nodes
 from ..operators.paths import written
 from ..session import GraphDatabase
 
+#: Batches after which a table's parts are written as one.
+COMPACT_EVERY = 20
+
 
 def load_nodes(db: GraphDatabase, label: str, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Appends the rows of ``stream`` (columns named as properties) to ``label``; of rows with one key the first in order of values stays."""
     key = db.graph.node(label).key
 
-    def batch(df: DataFrame, _: int) -> None:
+    def batch(df: DataFrame, number: int) -> None:
         n = db.graph.node(label)
         rest = [c for c in df.columns if c != key]
         one = df.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*") if rest else df.distinct()
         append_nodes(db.graph, label, one.join(n.df.select(key), key, "left_anti"))
+        if number % COMPACT_EVERY == COMPACT_EVERY - 1:
+            n.df = written(n.df)
 
     return _start(stream, batch, checkpoint, available_now)
 
@@ -40,6 +46,8 @@ def load_rels(db: GraphDatabase, type_: str, src: str, dst: str, stream: DataFra
             if not new.join(n.df.select(F.col(n.key).alias(side)), side, "left_anti").isEmpty():
                 raise ValueError(f"{type_}: an end node is missing in {label}")
         t.df = t.df.unionByName(new)
+        if number % COMPACT_EVERY == COMPACT_EVERY - 1:
+            t.df = written(t.df)
 
     return _start(stream, batch, checkpoint, available_now)
 
