@@ -366,6 +366,71 @@ def test_quality_runs_no_python_and_takes_null_groups(spark):
     assert quality.quality_rules(docs(spark, [])).count() == 0
 
 
+def brute_mcd(x, support, floors, starts=150, seed=0):
+    """Concentration with exact subsets of ``support`` rows from many random starts: the least log determinant, its mean and covariance."""
+    r, n, best = np.random.default_rng(seed), len(x), None
+    h, more = round(support * n), np.diag(np.square(floors))
+    for _ in range(starts):
+        own = x[r.choice(n, x.shape[1] + 1, replace=False)]
+        for _ in range(30):
+            m, c = own.mean(axis=0), np.cov(own.T, bias=True) + more
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            own = x[np.argsort(d2, kind="stable")[:h]]
+        m, c = own.mean(axis=0), np.cov(own.T, bias=True) + more
+        if best is None or np.linalg.slogdet(c)[1] < best[0] - 1e-12:
+            best = (np.linalg.slogdet(c)[1], m, c)
+    return best
+
+
+@pytest.mark.parametrize("bad", [0.0, 0.1, 0.2])
+def test_covariance_determinant_against_brute_force(spark, bad):
+    r = np.random.default_rng(int(100 * bad))
+    n = 600
+    x = r.multivariate_normal(np.zeros(5), 0.04 * (np.eye(5) + 0.5), n)
+    x[: int(bad * n)] = r.multivariate_normal([3, 2, 1, 0, 2], 0.02 * np.eye(5), int(bad * n))
+    x = np.round(x, 6)
+    frame = spark.createDataFrame([(i, "g", i % quality.SALTS, *map(float, v)) for i, v in enumerate(x)], "_uid long, group string, salt int, " + ", ".join(f"x{i} double" for i in range(5))).cache()
+    params = quality._first_estimates(frame)
+    for _ in range(4):
+        params = quality._concentrate(frame, params, 0.75)
+    params = quality.materialize(quality._best(params))
+    p = params.first()
+    got = 2 * sum(np.log(p[f"l{i}_{i}"]) for i in range(5))
+    logdet, m, c = brute_mcd(x, 0.75, quality.FLOORS)
+    assert abs(got - logdet) < 0.1
+    assert np.allclose([p[f"m{i}"] for i in range(5)], m, atol=0.03)
+    mine = {y["_uid"]: y["d2"] for y in quality._bucketed(frame, params).select("_uid", "d2").collect()}
+    want = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+    assert all((mine[i] > 60) == (want[i] > 60) for i in range(n) if not 45 < want[i] < 80) and all(mine[i] > 60 for i in range(int(bad * n)))
+
+
+def test_quality_rejects_repetition_just_under_the_base_limit(spark):
+    r = random.Random(3)
+
+    def line():
+        return " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(12))
+
+    lines = ["\n".join(line() for _ in range(12)) for _ in range(150)]
+    odd = "\n".join([line()] * 5 + [line() for _ in range(7)])
+    chance = "\n".join([lines[0], lines[0].split("\n")[0]])  # one chance repeat
+    texts = [*lines, odd, chance]
+    got = {x["doc_id"]: x for x in quality.quality_rules(docs(spark, texts)).collect()}
+    assert not got[150]["base_failed"] and not got[150]["kept"]
+    assert all(got[i]["kept"] for i in [*range(150), 151])
+
+
+def test_small_groups_join_the_nearest_large_one(spark):
+    texts = [prose(i, 60) for i in range(60)]
+    df = docs(spark, texts).withColumn("source", F.when(F.col("doc_id") < 40, "big").when(F.col("doc_id") < 45, "small").otherwise(F.col("doc_id").cast("string")))
+    df = df.withColumn("lang", F.when(F.col("doc_id") >= 55, F.lit("rare")).otherwise(F.col("lang"))).withColumn("x0", F.lit(5)).withColumn("kept", F.lit("x")).withColumn("group", F.lit("y"))
+    got = quality.quality_rules(df, least_rows=20, keep=("doc_id", "x0", "kept", "group"))
+    assert got.columns == ["doc_id", "x0", "group", *quality._OUT]
+    rows = got.collect()
+    assert len(rows) == 60 and all(x["distance2"] is not None and x["x0"] == 5 and x["group"] == "y" for x in rows)
+    alone = quality.quality_rules(df, least_rows=100).collect()  # a whole table under least_rows: base rules only
+    assert all(x["distance2"] is None and x["kept"] == (not x["base_failed"]) for x in alone)
+
+
 # ---- 6
 
 

@@ -63,3 +63,35 @@ def test_near_dedup_of_null_and_repeated_ids(spark):
     assert got.columns == docs.columns
     want = [(None, prose(1)), (None, prose(2)), (9, prose(3)), (7, prose(5)), (5, prose(4)), (None, None)]
     assert sorted(map(repr, map(tuple, got.select("doc_id", "text").collect()))) == sorted(map(repr, want))
+
+
+def test_clashing_columns_and_shared_ids_pass_through(spark, tmp_path):
+    """Extra columns with the names that the stages use themselves, null and shared doc_ids, and repeated rows."""
+    names = ["_row", "_uid", "lang_pred", "lang_rejected", "_lang_pred", "x0", "component_id", "spans", "more", "kept", "group", "fp"]
+    texts = [prose(i) for i in range(12)]
+    rows = [(None if i < 3 else 7 if i < 6 else i, t, "en", "s", len(t), *([f"v{i}"] * len(names))) for i, t in enumerate(texts)]
+    schema = COLUMNS + ", " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([*rows, rows[11]], schema)
+    want = sorted(rows, key=repr)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "")
+        assert docs.columns == [f.name for f in spark.createDataFrame([], schema).schema], name
+        got = sorted(map(tuple, docs.collect()), key=repr)
+        assert got == (want if name in ("near_dedup", "mask_pii") else sorted([*want, rows[11]], key=repr)), name
+        path = str(tmp_path / name)
+        docs.write.parquet(path)
+        docs = spark.read.parquet(path)
+    packed = corpus_pipeline.best_fit_packing(spark, docs, "")
+    assert packed.count() == 12
+
+
+def test_run_leaves_only_what_its_result_reads(spark, folder):
+    from pathlib import Path
+
+    from weftgraph.llm import common
+
+    at = Path(common.shared_folder(spark).removeprefix("file://"))
+    before = set(at.iterdir()) if at.exists() else set()
+    out = corpus_pipeline.run(spark, folder)
+    after = set(at.iterdir()) - before
+    assert out.count() > 0 and len(after) == 2  # the last stage's input, and its pieces

@@ -8,7 +8,7 @@ import gc
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -46,26 +46,49 @@ def materialize(df: DataFrame) -> DataFrame:
     stay until ``discard`` or ``release``, as results read them lazily.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = "/".join([shared_folder(spark), *_SCRATCH, uuid.uuid4().hex])
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+_SCRATCH: list[str] = []
+
+
+def written(df: DataFrame) -> str:
+    """Writes ``df`` to the shared folder, outside of any scratch, and gives the path."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized inside are deleted at the end: for work whose result is written elsewhere before that."""
+    _SCRATCH.append(f"scratch-{uuid.uuid4().hex}")
+    path = "/".join([shared_folder(spark), *_SCRATCH])
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this application's."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def discard(written: DataFrame) -> None:
     """Deletes the files of a materialized table that nothing reads any more."""
-    _delete(written.sparkSession, written._written_at)
+    delete(written.sparkSession, written._written_at)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes all that this application has written to the shared folder; its unread results are lost."""
-    _delete(spark, shared_folder(spark))
+    delete(spark, shared_folder(spark))
 
 
 def fresh(df: DataFrame, name: str) -> str:

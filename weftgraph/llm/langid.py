@@ -122,8 +122,8 @@ class CompressionClassifier:
         return ranked[0][1], 1 - math.exp(-25 * margin) / 2, margin
 
 
-def identify_languages(df: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.003, text_col: str = "text") -> DataFrame:
-    """``df`` with lang_pred, lang_score, lang_margin, lang_rejected.
+def identify_languages(df: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.003, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
+    """``df`` with lang_pred, lang_score, lang_margin, lang_rejected, or with another ``prefix`` in the place of lang_.
 
     Rejected: texts that are null or have no letter (``und``), and those with a margin under ``least_margin``.
     The dictionaries are bounded in number and size by the fit and are broadcast.
@@ -136,7 +136,8 @@ def identify_languages(df: DataFrame, dictionaries: dict[str, bytes], least_marg
         classifier = worker_state(("langid", key), lambda: CompressionClassifier(shared.value))
         return pd.DataFrame([classifier.classify(t) for t in texts], columns=["lang_pred", "lang_score", "lang_margin"])
 
-    added = {"lang_pred": "string", "lang_score": "double", "lang_margin": "double"}
-    at, own = fresh(df, "_lang"), [F.col(f"`{c}`") for c in df.columns if c.lower() not in {*added, "lang_rejected"}]
-    out = df.withColumn(at, classify(F.col(text_col))).select(*own, *[F.col(f"{at}.{c}").alias(c) for c in added])
-    return out.withColumn("lang_rejected", (F.col("lang_pred") == UNKNOWN) | (F.col("lang_margin") < least_margin))
+    names = [prefix + x for x in ("pred", "score", "margin", "rejected")]
+    at, own = fresh(df, "_lang"), [F.col(f"`{c}`") for c in df.columns if c.lower() not in {n.lower() for n in names}]
+    found = [F.col(f"{at}.lang_{x}").alias(n) for x, n in zip(("pred", "score", "margin"), names, strict=False)]
+    out = df.withColumn(at, classify(F.col(text_col))).select(*own, *found)
+    return out.withColumn(names[3], (F.col(names[0]) == UNKNOWN) | (F.col(names[2]) < least_margin))

@@ -1,16 +1,23 @@
 """Quality rules: base statistics of whole texts, and robust multivariate outliers per language and source.
 
 Everything here is DataFrame functions. A document's statistics become a vector of transformed rates. For each
-(lang, source) the minimum-covariance-determinant estimate is found by concentration steps: from the coordinate-wise
-medians and scales on, the mean and covariance of the ``support`` share of rows nearest by Mahalanobis distance are
-taken again and again, which never raises the determinant. One step is one aggregation: rows are summed into
-(group, distance bucket) moments, so a group that holds a third of all rows is added up map-side, and the rest works
-on a table with at most ``BUCKETS`` rows a group. Distances are scaled so that their median is that of a chi-square
-law, and rows beyond ``cutoff`` are rejected.
+(lang, source) the minimum-covariance-determinant estimate is found by concentration steps: from a start on, the mean
+and covariance of the ``support`` share of rows nearest by Mahalanobis distance are taken again and again. Several
+starts (STARTS) run side by side, and the one that ends with the least determinant is taken. One step is one
+aggregation: rows are summed into (group, start, distance bucket) moments, so a group that holds a third of all rows is
+added up map-side, and the rest works on a table with at most ``BUCKETS`` rows a group and start. Distances are scaled
+so that their median is that of a chi-square law, and rows beyond ``cutoff`` are rejected.
+
+What is approximate: the covariance has the squares of FLOORS added, as in regularised forms of the estimate, and the
+bucket at the edge of the support counts in part, all its rows alike. So a step may raise the determinant by what the
+rows of one bucket differ in distance (a factor of at most exp(1 / PER_UNIT) in 1 + distance), and no more; and the
+result is a local optimum of a few starts, as in all fast forms of the method.
 
 Nulls: a null text has no words and fails the base rules; null lang or source is a group of its own. Groups of fewer
-than ``least_rows`` are pooled by language, and those pools, if still small, all together. Repeated rows count, and
-get the same verdict. An empty table gives no rows. Further columns are ignored.
+than ``least_rows`` are pooled by language; pools that are still small join the language's largest group, or else are
+pooled all together, or else join the largest group of all. Only a table with fewer than ``least_rows`` texts with
+words has no verdict beyond the base rules. Very long texts are read whole. Repeated rows count, and get the same
+verdict; ties do. An empty table gives no rows. Further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +30,14 @@ from .common import WORD_PATTERN, WORD_SPACE, materialize
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Added to each coordinate's scale: spreads below these are no evidence of junk.
-FLOORS = (0.05, 0.05, 0.15, 0.15, 0.05)
+FLOORS = (0.05, 0.05, 0.06, 0.06, 0.05)
+#: Shares of repeated lines and words are of so many more, so that one chance repeat in a short text stays within the floors.
+MORE_LINES, MORE_WORDS = 5, 50
+#: Starts of the concentration: medians and quartile spreads; and the mean and covariance of all rows.
+STARTS = 2
 P = len(FLOORS)
 CHI2_MEDIAN_5 = 4.351
-BUCKETS, PER_UNIT = 400, 16
+BUCKETS, PER_UNIT = 800, 32
 SALTS = 32
 
 
@@ -92,8 +103,8 @@ def _vector() -> list[Column]:
     return [
         F.log(chars / words),
         F.log1p(F.col("n_symbols") / words),
-        F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
-        F.col("n_repeat_words") / words,
+        F.col("n_dup_lines") / (F.col("_n_lines") + MORE_LINES),
+        F.col("n_repeat_words") / (F.col("n_words") + MORE_WORDS),
         F.sqrt(F.col("n_capitals") / chars),
     ]
 
@@ -131,15 +142,36 @@ def _factored(groups: DataFrame, kept: list[str]) -> DataFrame:
     return groups.select(*kept, *_PARAMS)
 
 
-def _first_estimate(rows: DataFrame) -> DataFrame:
+_SUMS = ["n", *(f"s{i}" for i in range(P)), *(f"s{j}_{i}" for i in range(P) for j in range(i + 1))]
+
+
+def _moments() -> list[Column]:
+    x = [F.col(f"x{i}") for i in range(P)]
+    return [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(P)], *[F.sum(x[i] * x[j]).alias(f"s{j}_{i}") for i in range(P) for j in range(i + 1)]]
+
+
+def _from_moments(g: DataFrame) -> DataFrame:
+    """Means and regularised covariances from summed moments, factored."""
+    for i in range(P):
+        g = g.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
+    for i in range(P):
+        for j in range(i + 1):
+            c = F.col(f"s{j}_{i}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
+            g = g.withColumn(f"c{j}_{i}", F.greatest(c, F.lit(0.0)) + F.lit(FLOORS[i] ** 2) if i == j else c)
+    return _factored(g, ["group", "start"])
+
+
+def _first_estimates(rows: DataFrame) -> DataFrame:
+    """(group, start) with parameters, for each of STARTS."""
     spread = [F.percentile_approx(f"x{i}", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i in range(P)]
-    g = rows.groupBy("group").agg(*spread)
+    both = materialize(rows.groupBy("group").agg(*spread, *_moments()))
+    g = both.withColumn("start", F.lit(0))
     for i in range(P):
         scale = (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
         g = g.withColumn(f"m{i}", F.col(f"q{i}")[1].cast("double"))
         for j in range(i + 1):
             g = g.withColumn(f"c{j}_{i}", scale * scale + F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
-    return _factored(g, ["group"])
+    return _factored(g, ["group", "start"]).unionByName(_from_moments(both.withColumn("start", F.lit(1))))
 
 
 def salted(params: DataFrame) -> DataFrame:
@@ -153,21 +185,22 @@ def _bucketed(rows: DataFrame, params: DataFrame) -> DataFrame:
 
 
 def _concentrate(rows: DataFrame, params: DataFrame, support: float) -> DataFrame:
-    """One concentration step: the mean and covariance of the nearest buckets that hold ``support`` of a group."""
-    x = [F.col(f"x{i}") for i in range(P)]
-    sums = [F.sum(x[i]).alias(f"s{i}") for i in range(P)] + [F.sum(x[i] * x[j]).alias(f"s{j}_{i}") for i in range(P) for j in range(i + 1)]
-    moments = _bucketed(rows, params).groupBy("group", "bucket").agg(F.count(F.lit(1)).alias("n"), *sums)
-    near = Window.partitionBy("group").orderBy("bucket")
-    moments = moments.withColumn("before", F.sum("n").over(near) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("group")))
-    names = ["n", *(f"s{i}" for i in range(P)), *(f"s{j}_{i}" for i in range(P) for j in range(i + 1))]
-    g = moments.where(F.col("before") < F.col("all") * support).groupBy("group").agg(*[F.sum(c).alias(c) for c in names])
-    for i in range(P):
-        g = g.withColumn(f"m{i}", F.col(f"s{i}") / F.col("n"))
+    """One concentration step of every start: mean and covariance of the nearest ``support`` of a group, the bucket at its edge in part."""
+    moments = _bucketed(rows, params).groupBy("group", "start", "bucket").agg(*_moments())
+    one = Window.partitionBy("group", "start")
+    moments = moments.withColumn("before", F.sum("n").over(one.orderBy("bucket")) - F.col("n")).withColumn("need", F.sum("n").over(one) * support)
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("need") - F.col("before")) / F.col("n")))
+    g = moments.withColumn("part", part).where("part > 0").groupBy("group", "start").agg(*[F.sum(F.col("part") * F.col(c)).alias(c) for c in _SUMS])
+    return _from_moments(g)
+
+
+def _best(params: DataFrame) -> DataFrame:
+    """Of each group's starts the one with the least determinant, the first of equal ones."""
+    size = F.lit(0.0)
     for i in range(P):
-        for j in range(i + 1):
-            c = F.col(f"s{j}_{i}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")
-            g = g.withColumn(f"c{j}_{i}", c + F.lit(FLOORS[i] ** 2) if i == j else c)
-    return _factored(g, ["group"])
+        size = size + F.log(F.col(f"l{i}_{i}"))
+    least = F.min_by(F.struct("start", *_PARAMS), F.struct(F.round(size, 9).alias("d"), F.col("start").alias("s")))
+    return params.groupBy("group").agg(least.alias("p")).select("group", "p.*")
 
 
 def _scaled(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -182,24 +215,41 @@ def _scaled(rows: DataFrame, params: DataFrame) -> DataFrame:
 def quality_rules(
     df: DataFrame, support: float = 0.75, steps: int = 4, cutoff: float = 30.0, least_rows: int = 100, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
-    """The columns ``keep``, the statistics, base_failed, distance2 (scaled; null for texts without words) and kept."""
-    own = df.select(*[F.col(c) for c in keep], F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
+    """The columns ``keep``, the statistics, base_failed, distance2 (scaled; null for texts without words) and kept.
+
+    A column of ``keep`` that is named like one of these is replaced by it.
+    """
+    kept = {c: f"_keep{i}" for i, c in enumerate(keep) if c.lower() not in _OUT}
+    own = df.select(*[F.col(f"`{c}`").alias(k) for c, k in kept.items()], F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"), F.col(source_col).alias("_source"))
     stats = base_statistics(own, "_text").drop("_text")
     stats = materialize(stats.withColumns({f"x{i}": F.round(v, 6) for i, v in enumerate(_vector())}).withColumn("_uid", F.monotonically_increasing_id()))
     used = stats.where("n_words > 0")
-    by_source = used.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
-    by_source = by_source.withColumn("own", F.col("n") >= least_rows)
-    small = F.sum(F.when(~F.col("own"), F.col("n")).otherwise(0)).over(Window.partitionBy("_lang"))
-    level = F.when(F.col("own"), F.to_json(F.struct("_lang", "_source"))).when(small >= least_rows, F.to_json(F.struct("_lang"))).otherwise(F.lit("all"))
-    groups = materialize(by_source.withColumn("group", level).select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), "group"))
+    groups = _grouped(materialize(used.groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))), least_rows)
     named = salted(groups).withColumnRenamed("salt", "_s")
     rows = used.withColumn("salt", F.pmod(F.xxhash64("_uid"), F.lit(SALTS)).cast("int"))
     rows = rows.join(named, (F.col("salt") == F.col("_s")) & F.col("_lang").eqNullSafe(F.col("_gl")) & F.col("_source").eqNullSafe(F.col("_gs"))).drop("_gl", "_gs", "_s")
-    params = _first_estimate(rows)
+    params = _first_estimates(rows)
     for _ in range(steps):
         params = _concentrate(rows, params, support)
-    params = materialize(_scaled(rows, materialize(params)))
+    params = materialize(_scaled(rows, materialize(_best(params))))
     judged = _bucketed(rows, params).select("_uid", F.when(F.col("rows") >= least_rows, F.col("d2") / F.col("scale")).alias("distance2"))
-    named = [*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     out = stats.join(judged, "_uid", "left")
-    return out.select(*named, "distance2", (~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))).alias("kept"))
+    verdict = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= cutoff, F.lit(True))
+    return out.select(*[F.col(k).alias(c) for c, k in kept.items()], *_OUT[:-1], verdict.alias("kept"))
+
+
+_OUT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept"]
+
+
+def _grouped(pairs: DataFrame, least_rows: int) -> DataFrame:
+    """(_gl, _gs, group): the group of each language and source, from their numbers of rows."""
+    own = F.to_json(F.struct("_lang", "_source"))
+    language = Window.partitionBy("_lang")
+    pairs = pairs.withColumn("big", F.col("n") >= least_rows)
+    small = F.sum(F.when(~F.col("big"), F.col("n")).otherwise(0)).over(language)
+    largest = F.max(F.when(F.col("big"), F.struct("n", own.alias("g")))).over(language)["g"]
+    level = F.when(F.col("big"), own).when(small >= least_rows, F.to_json(F.struct("_lang"))).otherwise(largest)
+    pairs = materialize(pairs.withColumn("group", level))
+    left, most = pairs.agg(F.sum(F.when(F.col("group").isNull(), F.col("n"))), F.max(F.when(F.col("group").isNotNull(), F.struct("n", "group")))["group"]).first()
+    rest = "all" if (left or 0) >= least_rows or most is None else most
+    return materialize(pairs.select(F.col("_lang").alias("_gl"), F.col("_source").alias("_gs"), F.coalesce("group", F.lit(rest)).alias("group")))
