@@ -1,62 +1,70 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
-from __future__ import annotations
+Stages tell rows apart by a number that is written with them, never by doc_id or by a hash, so rows whose doc_id is
+null or shared are neither lost nor mixed up. Columns beyond those of documents pass through, whatever their names.
+"""
 
-import uuid
+from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import langid, packing, pii, quality, simhash
-from weftgraph.llm.common import session_for_texts, shared_folder, table
-
-TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain; lang becomes the language found. The fit is on the labels that docs has.
 
     Rejected are texts that are null or have no letter, and those between languages.
     """
-    session_for_texts(spark)
-    found = langid.identify_languages(docs, langid.fit_dictionaries(docs))
-    return found.where(~F.col("lang_rejected")).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    from weftgraph.llm import common, langid
+
+    common.session_for_texts(spark)
+    prefix = "_lang_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    found = langid.identify_languages(docs, langid.fit_dictionaries(docs), prefix=prefix)
+    return found.where(~F.col(f"{prefix}rejected")).withColumn("lang", F.col(f"{prefix}pred")).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
-    session_for_texts(spark)
-    uid = "_row"
-    rows = docs.withColumn(uid, F.xxhash64("doc_id", "text", "lang", "source"))
-    good = quality.quality_rules(rows, keep=(uid,)).where("kept").select(uid).distinct()
+    from weftgraph.llm import common, quality
+
+    common.session_for_texts(spark)
+    uid = common.fresh(docs, "_row")
+    rows = common.with_row_id(docs, uid)
+    good = quality.quality_rules(rows, keep=(uid,)).where("kept").select(uid)
     return rows.join(good, uid, "left_semi").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: that with the least doc_id, a null one last, then with the least hash of the row.
+    """One row of each group of near duplicates: that with the least doc_id, a null one last, then with the least hash of the row."""
+    from weftgraph.llm import common, simhash
 
-    Groups are of rows, told apart by all their columns: a doc_id that is null or repeated with another text loses none.
-    """
-    session_for_texts(spark)
-    uid = "_row"
-    rows = docs.withColumn(uid, F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
-    found = simhash.near_duplicates(rows, id_col=uid).select(F.col("doc_id").alias(uid), "component_id").distinct()
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", uid)
-    first = rows.select("doc_id", uid).join(found, uid).groupBy("component_id").agg(F.min(order).alias("o")).select(F.col(f"o.{uid}").alias(uid))
-    return rows.join(first, uid, "left_semi").dropDuplicates([uid]).select(*docs.columns)
+    common.session_for_texts(spark)
+    uid = common.fresh(docs, "_row")
+    rows = common.with_row_id(docs, uid)
+    found = simhash.near_duplicates(rows, id_col=uid).select(F.col("doc_id").alias("u"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"), F.col(uid).alias("u"))
+    first = rows.select(order.alias("o")).join(found, F.col("o.u") == F.col("u")).groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o.u").alias(uid))
+    return rows.join(first, uid, "left_semi").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with personal data masked by its kind; n_chars is the new length."""
-    session_for_texts(spark)
+    from weftgraph.llm import common, pii
+
+    common.session_for_texts(spark)
     return pii.mask_pii(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of at most 2048 tokens."""
-    session_for_texts(spark)
-    return packing.pack_documents(docs, TOKENIZER)
+    import public_tokenizers
+
+    from weftgraph.llm import common, packing
+
+    common.session_for_texts(spark)
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
@@ -69,15 +77,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; all but the last stage's rows are written to the shared folder and reread."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}/{i}-{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """Applies STAGES to documents. All but the last stage's rows are written to the shared folder and reread; what a stage wrote for itself goes once they are."""
+    from weftgraph.llm import common
+
+    docs, held = common.table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with common.scratch(spark):
+            path = common.written(stage(spark, docs, sf_dir))
+        if held:
+            common.delete(spark, held)
+        docs, held = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: None: no stage before the last can be expressed in SQL; tests hold run() against a brute-force version.
