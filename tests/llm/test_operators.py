@@ -95,11 +95,43 @@ def test_chroma_recall_of_noisy_copies(spark, noise):
         n = min(len(x), len(y))
         return np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n)
 
-    want = {i for i in range(120) if min(error(fp[i], fp[i + 120], o) for o in range(8 - len(fp[i]), len(fp[i]) - 7)) <= 0.2}
+    want = {i for i in range(120) if min(error(fp[i], fp[i + 120], o) for o in range(chroma.LEAST_OVERLAP - len(fp[i]), len(fp[i]) - chroma.LEAST_OVERLAP + 1)) <= 0.2}
     got = {x["id"] for x in chroma.align_recordings(fps, F.col("id") < 120).collect() if x["id"] + 120 in {m["class_id"] for m in x["matches"]}}
     assert len(want) >= 20 and len(want & got) >= 0.9 * len(want)
 
 
+def test_chroma_recall_of_shifted_cropped_and_noisy_recordings(spark):
+    """A table of planted copies against exhaustive alignment of every query with every recording."""
+    r = np.random.default_rng(5)
+    tunes = [r.standard_normal(64) for _ in range(60)]
+    rows = list(tunes)
+    for i, v in enumerate(tunes):
+        cut = v[int(r.integers(0, 20)) : 64 - int(r.integers(0, 12))] if i % 3 else np.concatenate([r.standard_normal(int(r.integers(1, 20))), v])
+        rows.append(cut + 0.08 * r.standard_normal(len(cut)))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "i long, v array<double>")
+    fps = chroma.fingerprint_media(df, "v", "i", chroma.render_vector).cache()
+    fp = {x["id"]: np.array(x["fp"], np.int32).view(np.uint32) for x in fps.collect()}
+    want = set()
+    for i in range(60):
+        for j in range(120):
+            a, b, least = fp[i], fp[j], chroma.LEAST_OVERLAP
+            errors = [np.bitwise_count(a[max(0, -o) :][:n] ^ b[max(0, o) :][:n]).sum() / (32 * n) for o in range(least - len(a), len(b) - least + 1) if (n := min(len(a) - max(0, -o), len(b) - max(0, o))) >= least]
+            if i != j and min(errors) <= 0.2:
+                want.add((i, j))
+    got = {(x["id"], m["class_id"]) for x in chroma.align_recordings(fps, F.col("id") < 60).collect() for m in x["matches"]}
+    assert got <= want and len(want) >= 25 and len(got) >= 0.9 * len(want)
+
+
+def test_chroma_unreadable_media(spark):
+    eight_bit = wav(tone([440]))[:34] + b"\x08\x00" + wav(tone([440]))[36:]
+    values = [None, b"", b"RIFF", b"no sound at all", eight_bit, wav(tone([440] * 12))[:-5001], wav(tone([440] * 12))]
+    df = spark.createDataFrame(list(enumerate(values)), "i long, a binary")
+    got = {x["id"]: x for x in chroma.fingerprint_media(df, "a", "i").collect()}
+    assert [got[i]["readable"] for i in range(5)] == [None, False, False, False, False] and got[6]["readable"]
+    assert all(got[i]["n_frames"] == 0 for i in range(5)) and got[6]["n_frames"] > 100
+    assert chroma.align_recordings(chroma.fingerprint_media(df, "a", "i"), F.lit(True)).count() == 7
+
+
 # ---- 2
 
 
