@@ -507,12 +507,54 @@ def test_toxicity_learns_terms_misspellings_and_quotation(spark):
     assert len(scored) == 240 + len(EDGE) and all(0 <= s <= 1 for s in scored.values())
     assert all((scored[i] >= 0.7) == bool(y) for i, y in labels) and all(scored[i] < 0.7 for i in range(240, 240 + len(EDGE)))
     plain = prose(500, 20)
-    assert model.score(f"you {plain} you skalard you") > model.score(plain)
+    assert model.score(f"{plain} skalard {plain}") > model.score(plain)
     assert model.score(f'{plain} he said "vorpent" {plain}') < model.score(f"{plain} vorpent {plain}")
 
 
+def test_toxicity_learns_which_windows_quote(spark):
+    """Terms stand in toxic texts, and after a word of reporting in clean ones; held-out texts are told apart by the window."""
+    r = random.Random(2)
+
+    def text(i, lead):
+        words = prose(i, 40).split()
+        for _ in range(2):
+            at = r.randrange(38)
+            words[at : at + 2] = [lead, r.choice(["grommel", "skallard", "vorpent"])]
+        return " ".join(words)
+
+    texts = [text(i, "ba") if i % 3 == 0 else text(i, "reported") if i % 72 == 1 else prose(i, 40) for i in range(600)]
+    toxic = [int(i % 3 == 0) for i in range(600)]
+    df = docs(spark, texts)
+    model = toxicity.fit_toxicity(df, spark.createDataFrame([(i, toxic[i]) for i in range(400)], "doc_id long, toxic int"))
+    assert {"grommel", "skallard", "vorpent"} <= set(model.weights) and model.context["reported"] < 0
+    scored = {x["doc_id"]: x["score"] for x in toxicity.score_toxicity(df, model).collect()}
+    held = range(400, 600)
+    caught = sum(scored[i] >= 0.7 for i in held if toxic[i])
+    assert caught >= 0.9 * sum(toxic[i] for i in held) and not any(scored[i] >= 0.7 for i in held if not toxic[i])
+    rows = [model.features(t) for t in texts[:400]]
+    z = np.array(rows) @ np.array(model.coefficients)
+    assert np.allclose([scored[i] for i in range(400)], 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def test_logistic_reaches_the_minimum():
+    r = np.random.default_rng(1)
+    x = np.hstack([np.ones((300, 1)), r.random((300, 5))])
+    y = (x @ np.array([-2, 4, 1, 0, -1, 2]) + r.standard_normal(300) > 0).astype(float)
+    n = r.integers(1, 4, 300).astype(float)
+    beta = np.array(toxicity._logistic(x, y, n))
+    prior = np.array([-3.0, 8.0, 4.0, 1.0, 0.5, 2.0])
+
+    def loss(b):
+        z = x @ b
+        return float((n * (np.logaddexp(0, z) - y * z)).sum() + 0.025 * ((b - prior) ** 2).sum())
+
+    assert all(loss(beta) <= loss(beta + d) + 1e-9 for d in 0.01 * r.standard_normal((200, 6)))
+
+
 def test_toxicity_without_labels(spark):
     df = docs(spark, EDGE)
+    none = toxicity.fit_toxicity(docs(spark, []), spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))
+    assert toxicity.score_toxicity(docs(spark, []), none).count() == 0
     model = toxicity.fit_toxicity(df, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(x["score"] < 0.5 for x in toxicity.score_toxicity(df, model).collect())
 

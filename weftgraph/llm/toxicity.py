@@ -3,8 +3,15 @@
 The lexicon is learned from labelled texts: words whose presence in toxic texts is far beyond chance. It is held as a
 trie; the Levenshtein automaton of a word is run along the trie's paths, so a misspelled term is met with one walk
 for all terms. Words that clean labelled texts use are never read as misspellings. Around each hit a window of words
-tells quotation from abuse: quotation marks and words of reporting or denial before the term weaken a hit, words that
-address the reader strengthen it. A logistic model of the summed evidence gives the score.
+tells quotation from abuse: for each word the labelled texts say how much oftener it stands in the windows of hits of
+toxic texts than in those of clean ones, and a window's score is the sum of these log ratios. Hits between quotation
+marks or in a window that speaks of clean use count as quoted, those in a window that speaks of abuse count more. A
+logistic model of the summed evidence gives the score.
+
+Nulls: a null text is empty, and scores like one without hits; null labels and ids teach nothing. Very long texts are
+read whole. Repeated texts are learned once, toxic if any copy is; repeated rows get equal scores. Ties among terms go
+to the lesser word. Without labelled texts there are no terms and all score low; an empty table gives no rows. Further
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,12 +29,10 @@ from pyspark.sql import functions as F
 from .bpe import batches
 
 _TOKEN = re.compile(r"[^\W_]+")
-#: Words around a term that report or deny it, and that address someone, in the languages at hand.
-REPORTING = frozenset("said says called calls quoted quote wrote word term insult not never sagte sagt nannte wort nicht nie dit disait appelé mot pas jamais dijo dice llamó palabra no nunca".split())
-ADDRESSING = frozenset("you your youre ur du dich dein ihr tu te toi ton vous tú usted eres".split())
 _QUOTES = re.compile(r"[\"“”«»„]")
 WINDOW = 4
-FEATURES = 6
+#: A window whose score is this far below zero speaks of quotation, this far above of abuse.
+CLEAR = 1.0
 
 
 def _trie(terms) -> dict:
@@ -115,16 +120,17 @@ class ToxicityModel:
     clean: frozenset[str] = frozenset()
     coefficients: list[float] = field(default_factory=lambda: [-4.0, 6.0, 3.0, 0.5, -3.0, 1.0])
     least_fuzzy: int = 5
+    context: dict[str, float] = field(default_factory=dict)
 
     def __post_init__(self):
         self.trie = Trie(self.weights)
         self.known: dict[str, tuple[float, bool] | None] = {}
 
     def __getstate__(self):
-        return self.weights, self.clean, self.coefficients, self.least_fuzzy
+        return self.weights, self.clean, self.coefficients, self.least_fuzzy, self.context
 
     def __setstate__(self, state):
-        self.weights, self.clean, self.coefficients, self.least_fuzzy = state
+        self.weights, self.clean, self.coefficients, self.least_fuzzy, self.context = state
         self.__post_init__()
 
     def _look_up(self, word: str) -> tuple[float, bool] | None:
@@ -140,25 +146,26 @@ class ToxicityModel:
         self.known[word] = got
         return got
 
-    def features(self, text: str | None) -> list[float]:
-        """1, best exact term, best misspelled term, count of hits, best quoted term, best addressing term."""
-        text = text or ""
+    def hits(self, text: str) -> tuple[list[str], list[tuple[int, tuple[float, bool]]]]:
+        """The text's words, and (place, (weight, misspelled)) of those that are terms."""
         words = _TOKEN.findall(text.lower())
         known, look_up = self.known, self._look_up
-        hits = [(i, h) for i, w in enumerate(words) if (h := known[w] if w in known else look_up(w)) is not None]
+        return words, [(i, h) for i, w in enumerate(words) if (h := known[w] if w in known else look_up(w)) is not None]
+
+    def features(self, text: str | None) -> list[float]:
+        """1, best exact term, best misspelled term, count of hits, best quoted term, best term in a window of abuse."""
+        text = text or ""
+        words, hits = self.hits(text)
         if not hits:
             return [1.0, 0, 0, 0, 0, 0]
         quoted = _quoted(text, {words[i] for i, _ in hits}) if _QUOTES.search(text) else frozenset()
         best = [0.0] * 4
         for i, (weight, fuzzy) in hits:
-            window = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-            if words[i] in quoted or not REPORTING.isdisjoint(words[max(0, i - WINDOW) : i]) and ADDRESSING.isdisjoint(window):
-                kind = 2
-            else:
-                kind = 1 if fuzzy else 0
-                if not ADDRESSING.isdisjoint(window):
-                    best[3] = max(best[3], weight)
+            score = sum(self.context.get(w, 0.0) for w in window(words, i)) if self.context else 0.0
+            kind = 2 if words[i] in quoted or score <= -CLEAR else 1 if fuzzy else 0
             best[kind] = max(best[kind], weight)
+            if kind < 2 and score >= CLEAR:
+                best[3] = max(best[3], weight)
         return [1.0, best[0], best[1], math.log1p(len(hits)), best[2], best[3]]
 
     def score(self, text: str | None) -> float:
@@ -166,6 +173,11 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def window(words: list[str], i: int) -> set[str]:
+    """The words within WINDOW of the i-th."""
+    return {*words[max(0, i - WINDOW) : i], *words[i + 1 : i + 1 + WINDOW]}
+
+
 def _quoted(text: str, terms: set[str]) -> frozenset[str]:
     """The terms all of whose occurrences stand between quotation marks."""
     inside = [w for part in _QUOTES.split(text.lower())[1::2] for w in _TOKEN.findall(part)]
@@ -193,10 +205,10 @@ def _word_lists(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from batches(((w, y, n) for (w, y), n in counts.items()), schema, most_rows=50_000)
 
 
-def fit_toxicity(df: DataFrame, labels: DataFrame, fit_rows: int = 8000, most_terms: int = 4000, least_texts: int = 3, least_gain: float = 15.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def fit_toxicity(df: DataFrame, labels: DataFrame, fit_rows: int = 8000, most_terms: int = 4000, least_texts: int = 3, least_gain: float = 15.0, most_context: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fits on at most ``fit_rows`` different texts of each label; keep held-out rows out of ``labels``.
 
-    The lexicon has at most ``most_terms`` words. With no toxic texts the model has no terms and scores low.
+    The lexicon has at most ``most_terms`` words, and as many as ``most_context`` words have a say in windows. With no toxic texts the model has no terms and scores low.
     """
     from .common import materialize
 
@@ -228,6 +240,27 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, fit_rows: int = 8000, most_te
     veto = by_word.where("c > 0").select("word").mapInArrow(clean_neighbours, "word string")
     model.clean = frozenset(r["word"] for r in veto.collect())  # neighbours of the terms among the sample's words
 
+    def windows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(word, y, texts in which it stands near a hit); the word null: texts with hits."""
+        seen: dict[tuple[str | None, int], int] = {}
+        for b in parts:
+            for text, y in zip(b[0], b[1].to_pylist(), strict=True):
+                words, hits = model.hits(text.as_py())
+                for w in set().union(*[window(words, i) for i, _ in hits]) - weights.keys() | ({None} if hits else set()):
+                    seen[w, y] = seen.get((w, y), 0) + 1
+        schema = pa.schema([("word", pa.string()), ("y", pa.int32()), ("n", pa.int64())])
+        yield from batches(((w, y, n) for (w, y), n in seen.items()), schema, most_rows=50_000)
+
+    near = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(windows, "word string, y int, n long")
+    near = materialize(near.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("c")))
+    if totals_ := near.where("word IS NULL").first():
+        h1, h0 = totals_["t"], totals_["c"]
+        ratio = F.log((F.col("t") + 0.5) / (h1 + 1)) - F.log((F.col("c") + 0.5) / (h0 + 1))
+        # a word's ratio counts as far as chance would not explain it: less twice its standard error
+        sure = F.signum(ratio) * F.greatest(F.lit(0.0), F.abs(ratio) - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)))
+        told = near.where("word IS NOT NULL").select("word", sure.alias("s")).where("s <> 0").orderBy(F.desc(F.abs("s")), "word").limit(most_context)
+        model.context = {r["word"]: round(r["s"], 4) for r in told.collect()}  # at most most_context
+
     def vectors(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
             rows = [model.features(t.as_py()) for t in b[0]]
