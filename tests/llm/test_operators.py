@@ -120,6 +120,8 @@ def test_chroma_recall_of_shifted_cropped_and_noisy_recordings(spark):
                 want.add((i, j))
     got = {(x["id"], m["class_id"]) for x in chroma.align_recordings(fps, F.col("id") < 60).collect() for m in x["matches"]}
     assert got <= want and len(want) >= 25 and len(got) >= 0.9 * len(want)
+    offsets = {(x["id"], m["class_id"]): (m["offset"], m["equal"]) for x in chroma.align_recordings(fps, F.col("id") < 60).collect() for m in x["matches"]}
+    assert all(chroma.best_offset(fp[i], fp[j])[:2] == o for (i, j), o in offsets.items())
 
 
 def test_chroma_unreadable_media(spark):

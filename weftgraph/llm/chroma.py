@@ -6,7 +6,9 @@ Gray-coded bits, and the 32 bits are one packed integer per frame. Two recording
 offsets at which their keys are equal, and judged by the share of differing bits over the overlap. A key holds the even
 or the odd filters of two integers APART frames from each other, so noise that moves filters of one half leaves the
 other half's vote. A vote counts only if the integers at LATER frames differ in at most MOST_BITS bits, which chance
-pairs of equal keys hardly ever meet, and which is tested inside the join, so its rows are few.
+pairs of equal keys hardly ever meet. A run of equal keys votes once, and again at every EVERY-th frame; where both
+halves are equal the even one votes. All this is tested inside the join, so its rows are few for strangers, and a
+handful for a pair of copies.
 
 Overlaps under LEAST_OVERLAP frames are no alignments: of 210 000 overlaps of unrelated renderings the least error was
 0.09 at 8 frames, 0.13 at 16, 0.23 at 32 and 0.24 at 48, so short ones pass an error of 0.2 by chance.
@@ -44,6 +46,7 @@ APART = 3
 #: Frames after a key's first whose integers are compared before a vote counts, and the bits of them that may differ.
 LATER = (6, 14, 22, 30)
 MOST_BITS = 28
+EVERY = 16
 LEAST_OVERLAP = 48
 
 
@@ -142,12 +145,16 @@ def keys(fp: np.ndarray) -> list[np.ndarray]:
 def best_offset(a: np.ndarray, b: np.ndarray) -> tuple[int, int, float] | None:
     """(offset, votes, bit error rate): a[i] lies over b[i + offset]; None without a vote."""
     votes: dict[int, int] = {}
-    for ka, kb in zip(keys(a), keys(b), strict=True):
-        ka, kb = ka[: max(0, len(a) - LATER[-1])], kb[: max(0, len(b) - LATER[-1])]
+    own, other = ([k[: max(0, len(x) - LATER[-1])] for k in keys(x)] for x in (a, b))
+    for half, (ka, kb) in enumerate(zip(own, other, strict=True)):
         order = np.argsort(kb, kind="stable")
         lo, hi = np.searchsorted(kb[order], ka, "left"), np.searchsorted(kb[order], ka, "right")
         for i in np.flatnonzero(hi > lo).tolist():
+            if i and ka[i] == ka[i - 1]:
+                continue
             for j in order[lo[i] : hi[i]].tolist():
+                if j and kb[j] == kb[j - 1] or i % EVERY and j and ka[i - 1] == kb[j - 1] or half and own[0][i] == other[0][j]:
+                    continue
                 if sum(int(a[i + x] ^ b[j + x]).bit_count() for x in LATER) <= MOST_BITS:
                     votes[j - i] = votes.get(j - i, 0) + 1
     if not votes:
@@ -196,31 +203,36 @@ def align_recordings(fps: DataFrame, is_query, most_error: float = 0.2, least_eq
     rows = fps.withColumn("is_query", is_query)
     classes = materialize(rows.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp"), F.max("is_query").alias("asks")))
 
-    def postings_of(half: int) -> Column:
-        """(v, i, p, q) at each start of a run of equal keys of the half; v's bit 32 tells the half, p and q hold the LATER integers."""
+    def key(half: int, v: Column, i: Column) -> Column:
+        """The half's key at a frame, null where no frame is that far on; bit 32 tells the half."""
+        v, w = v.cast("long"), F.get(F.col("fp"), i + APART).cast("long")
+        own, other = (v.bitwiseAND(F.lit(HALF)), F.shiftright(w.bitwiseAND(F.lit(HALF)), 2)) if half == 0 else (F.shiftleft(v, 2).bitwiseAND(F.lit(HALF)), w.bitwiseAND(F.lit(HALF >> 2)))
+        return own.bitwiseOR(other).bitwiseOR(F.lit(half << 32))
+
+    def later(i: Column, at: int) -> Column:
+        high, low = (F.get(F.col("fp"), i + LATER[at + x]).cast("long") for x in (0, 1))
+        return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
 
-        def key(v: Column, i: Column) -> Column:
-            v, w = v.cast("long"), F.get(F.col("fp"), i + APART).cast("long")
-            own, other = (v.bitwiseAND(F.lit(HALF)), F.shiftright(w.bitwiseAND(F.lit(HALF)), 2)) if half == 0 else (F.shiftleft(v, 2).bitwiseAND(F.lit(HALF)), w.bitwiseAND(F.lit(HALF >> 2)))
-            return own.bitwiseOR(other).bitwiseOR(F.lit(half << 32))
+    def postings_of(half: int) -> Column:
+        """(v, i, before, even, p, q) at each start of a run of equal keys: the key, its frame, the key before it, the even half's key if v is the odd one's, and the LATER integers."""
 
         def starts(k: Column) -> Column:
-            posted = F.transform(k, lambda v, i: F.struct(v.alias("v"), i.alias("i"), ((i == 0) | (F.get(k, i - 1) != v)).alias("s")))
-            kept = F.filter(posted, lambda x: x["s"] & (x["i"] < F.size("fp") - LATER[-1]))
+            at = F.filter(F.transform(k, lambda v, i: F.struct(v.alias("v"), i.alias("i"), F.get(k, i - 1).alias("before"))), lambda x: (x["i"] < F.size("fp") - LATER[-1]) & ~x["v"].eqNullSafe(x["before"]))
+            even = (lambda x: key(0, F.get(F.col("fp"), x["i"]), x["i"])) if half else (lambda x: F.lit(None).cast("long"))
+            return F.transform(at, lambda x: F.struct(x["v"].alias("v"), x["i"].alias("i"), x["before"].alias("before"), even(x).alias("even"), later(x["i"], 0).alias("p"), later(x["i"], 2).alias("q")))
 
-            def two(i: Column, at: int) -> Column:
-                high, low = (F.get(F.col("fp"), i + LATER[at + x]).cast("long") for x in (0, 1))
-                return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
+        return F.transform(F.array(F.transform("fp", lambda v, i: key(half, v, i))), starts)[0]
 
-            return F.transform(kept, lambda x: F.struct(x["v"].alias("v"), x["i"].alias("i"), two(x["i"], 0).alias("p"), two(x["i"], 2).alias("q")))
+    postings = classes.select("class_id", "asks", F.explode(F.concat(postings_of(0), postings_of(1))).alias("s")).select("class_id", "asks", "s.*")
 
-        return F.transform(F.array(F.transform("fp", key)), starts)[0]
+    def side(rows: DataFrame, name: str, id_: str) -> DataFrame:
+        return rows.select(F.col("class_id").alias(id_), "v", *[F.col(c).alias(f"{name}{c}") for c in ("i", "before", "even", "p", "q")])
 
-    postings = classes.select("class_id", "asks", F.explode(F.concat(postings_of(0), postings_of(1))).alias("s")).select("class_id", "asks", "s.*")
-    q = postings.where("asks").select(F.col("class_id").alias("a"), "v", F.col("i").alias("ai"), F.col("p").alias("ap"), F.col("q").alias("aq"))
-    r = postings.select(F.col("class_id").alias("b"), "v", F.col("i").alias("bi"), F.col("p").alias("bp"), F.col("q").alias("bq"))
+    q, r = side(postings.where("asks"), "a", "a"), side(postings, "b", "b")
     bits = F.bit_count(F.col("ap").bitwiseXOR(F.col("bp"))) + F.bit_count(F.col("aq").bitwiseXOR(F.col("bq")))
-    votes = q.join(r, (q["v"] == r["v"]) & (F.col("a") != F.col("b")) & (bits <= MOST_BITS)).groupBy("a", "b", (F.col("bi") - F.col("ai")).alias("offset")).agg(F.count(F.lit(1)).alias("equal"))
+    begins = (F.col("ai") % EVERY == 0) | F.col("abefore").isNull() | F.col("bbefore").isNull() | (F.col("abefore") != F.col("bbefore"))
+    first = F.col("aeven").isNull() | (F.col("aeven") != F.col("beven"))
+    votes = q.join(r, (q["v"] == r["v"]) & (F.col("a") != F.col("b")) & begins & first & (bits <= MOST_BITS)).groupBy("a", "b", (F.col("bi") - F.col("ai")).alias("offset")).agg(F.count(F.lit(1)).alias("equal"))
     best = votes.groupBy("a", "b").agg(F.max_by(F.struct("offset", "equal"), F.struct("equal", -F.abs("offset"), -F.col("offset"))).alias("o")).where(F.col("o.equal") >= least_equal)
     left = classes.select(F.col("class_id").alias("a"), F.col("fp").alias("x"))
     right = classes.select(F.col("class_id").alias("b"), F.col("fp").alias("y"))
