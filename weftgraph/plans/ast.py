@@ -275,6 +275,15 @@ class CopyTo:
     options: dict
 
 
+@dataclass
+class CreateMacro:
+    """A scalar macro: ``params`` are (name, default or None), ``body`` is an expression over them."""
+
+    name: str
+    params: tuple
+    body: Any
+
+
 @dataclass
 class Admin:
     action: str

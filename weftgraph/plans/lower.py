@@ -1273,6 +1273,8 @@ class Lowering:
 
     def call(self, e: A.Call, sc: Scope) -> Column:
         n = e.name
+        if n in self.functions.get("macro:", {}):
+            return self.ex(self.unfolded(e), sc)
         b = sc.env.get(e.args[0].name) if e.args and isinstance(e.args[0], A.Var) else None
         if n in AGGREGATES:
             raise BindError(f"{n}() cannot stand here")
@@ -1329,6 +1331,19 @@ class Lowering:
             return scalar.PLAIN[n](*args)
         raise BindError(f"no function {n}")
 
+    def unfolded(self, e: A.Call) -> Any:
+        """A macro's expression with the arguments in the place of its parameters, all at once."""
+        m = self.functions["macro:"][e.name]
+        given = list(e.args) + [d for _, d in m.params[len(e.args) :]]
+        if len(e.args) > len(m.params) or any(x is None for x in given):
+            raise BindError(f"{e.name} takes {len(m.params)} arguments")
+        body = m.body
+        for name, _ in m.params:
+            body = _replaced(body, A.Var(name), A.Var(f"${name}"))
+        for (name, _), value in zip(m.params, given, strict=True):
+            body = _replaced(body, A.Var(f"${name}"), value)
+        return body
+
     @staticmethod
     def _all_different(array: Column) -> Column:
         return F.size(F.array_distinct(array)) == F.size(array)

@@ -169,6 +169,25 @@ def dml_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.execute("MATCH (n:Nation) WHERE n.n_name = 'old' OR n.n_name = 'new' RETURN n.n_nationkey AS n, n.n_name AS name").df
 
 
+def macro_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = database(spark, sf_dir).connect()
+    c.execute("CREATE MACRO grown(x, by := 2) AS x * by + 1")
+    return c.execute("MATCH (p:Part) RETURN p.p_partkey AS k, grown(p.p_size) AS a, grown(p.p_size, 10) AS b").df
+
+
+def load_graph_spec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph loaded by a specification of its tables."""
+    db = GraphDatabase(spark)
+    db.load_graph({
+        "nodes": [
+            {"label": "Region", "key": "r_regionkey", "columns": {"r_regionkey": "INT32", "r_name": "STRING"}, "source": f"{sf_dir}/region.parquet"},
+            {"label": "Nation", "key": "n_nationkey", "columns": {"n_nationkey": "INT32", "n_name": "STRING", "n_regionkey": "INT32"}, "source": f"{sf_dir}/nation.parquet"},
+        ],
+        "relationships": [{"type": "IN_REGION", "from": "Nation", "to": "Region", "multiplicity": "MANY_TO_ONE", "source": spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey")}],
+    })
+    return db.connect().execute("MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.r_name AS r, count(n) AS cnt, max(n.n_name) AS last").df
+
+
 def call_extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return database(spark, sf_dir).connect().execute("CALL show_loaded_extensions() YIELD name AS ext RETURN ext").df
 
@@ -178,7 +197,7 @@ QUERIES = {
     for f in (
         load_from_parquet, load_from_csv, load_from_json, load_from_jsonl, load_with_headers, copy_graph_values, copy_roundtrip, copy_auto_detect,
         ddl_alter_default, ddl_drop, ddl_checkpoint, dml_create, dml_set, dml_delete_edges, dml_detach_delete, dml_merge, call_extensions,
-        ddl_checkpoint_defaults, load_from_glob, dml_merge_rel,
+        ddl_checkpoint_defaults, load_from_glob, dml_merge_rel, macro_call, load_graph_spec,
     )
 }
 
@@ -200,6 +219,8 @@ ORACLE_SQL = {
     "dml_detach_delete": "SELECT count(*) AS s, count(*) FILTER (s_nationkey >= 10) AS e, min(s_nationkey) FILTER (s_nationkey >= 10) AS least FROM supplier",
     "dml_merge": "SELECT 1::INTEGER AS n, 'old' AS name UNION ALL SELECT 2, 'old' UNION ALL SELECT 200, 'new'",
     "ddl_checkpoint_defaults": "SELECT 'old' AS note, 1990::INTEGER AS since, count(*) AS cnt FROM supplier UNION ALL SELECT 'none', 1990, 1",
+    "macro_call": "SELECT p_partkey AS k, p_size * 2 + 1 AS a, p_size * 10 + 1 AS b FROM part",
+    "load_graph_spec": "SELECT r_name AS r, count(*) AS cnt, max(n_name) AS last FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1",
     "load_from_glob": "SELECT n_name AS name, n_nationkey AS k FROM nation",
     "dml_merge_rel": "SELECT s_suppkey AS s, s_nationkey AS n, CASE WHEN s_nationkey = 1 THEN 1 ELSE 1990 END::INTEGER AS since FROM supplier WHERE s_suppkey < 10 UNION ALL SELECT s_suppkey, 1, 2 FROM supplier WHERE s_suppkey < 10 AND s_nationkey <> 1 UNION ALL SELECT -1, 500, 5",
     "call_extensions": "SELECT unnest(['csv', 'json', 'parquet']) AS ext",

@@ -8,7 +8,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import PropertyGraph
+from . import datasets
+from .catalog import CatalogError, PropertyGraph
 from .operators import ddl, dml
 from .plans import ast as A
 from .plans.lower import Lowering
@@ -58,9 +59,23 @@ class GraphDatabase:
         self.spark, self.path, self.mode = spark, path, mode
         self.version = VERSION
         self.graph = graph or (ddl.restore(spark, path) if path else None) or PropertyGraph(spark)
-        self.functions: dict[str, Any] = {"scalar:": {}, "show_loaded_extensions": ddl.loaded_extensions, "show_tables": ddl.show_tables}
+        self.functions: dict[str, Any] = {"scalar:": {}, "macro:": {}, "show_loaded_extensions": ddl.loaded_extensions, "show_tables": ddl.show_tables}
         self.tables: dict[str, DataFrame] = {}
 
+    @classmethod
+    def from_builtin_dataset(cls, spark: SparkSession, name: str) -> GraphDatabase:
+        db = cls(spark)
+        db.load_builtin_dataset(name)
+        return db
+
+    def load_builtin_dataset(self, name: str) -> None:
+        """Adds one of the small graphs named by ``datasets.available()``."""
+        self.load_graph(datasets.spec(self.spark, name))
+
+    def load_graph(self, spec: dict | str) -> None:
+        """Bulk loading by a specification, given as a dict or as the path of a JSON or YAML file (see ``datasets.load``)."""
+        datasets.load(self, spec)
+
     def connect(self) -> Connection:
         return Connection(self)
 
@@ -101,6 +116,10 @@ class Connection:
             return Result(dml.run(s, low) if dml.changes(s) else low.query(s))
         if isinstance(s, (A.CreateNodeTable, A.CreateRelTable, A.DropTable, A.AlterTable)):
             ddl.run(s, low)
+        elif isinstance(s, A.CreateMacro):
+            if s.name in db.functions["macro:"]:
+                raise CatalogError(f"macro {s.name} already exists")
+            db.functions["macro:"][s.name] = s
         elif isinstance(s, A.CopyFrom):
             dml.copy_from(s, low)
         elif isinstance(s, A.CopyTo):
