@@ -786,3 +786,38 @@ def test_language_without_labels(spark):
     empty = docs(spark, []).withColumn("lang", F.lit(None).cast("string"))
     assert langid.fit_dictionaries(empty) == {}
     assert [x["lang_pred"] for x in langid.identify_languages(docs(spark, ["some text"]), {}).collect()] == ["und"]
+
+
+# ---- all
+
+
+def test_repeated_rows_give_repeated_results(spark):
+    """Each operator over every row twice, whole rows and ids too; columns of clashing names are there all along."""
+    texts = [*EDGE, prose(1, 60), prose(2, 70), "Released under the MIT License. call +1 555 555 1234"]
+    once = docs(spark, texts)
+    twice = once.unionByName(once)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(once, labels)
+    ratios = resample.fit_log_ratios(once.withColumn("_target", F.lit(True)), 100)
+    for operator in (
+        simhash.near_duplicates,
+        lambda df: resample.importance(df, ratios),
+        lambda df: bpe.encode_documents(df, TOKENIZER).select("id", F.md5("ids").alias("ids")),
+        lambda df: toxicity.score_toxicity(df, model),
+        licenses.scan_licenses,
+        lambda df: pii.find_pii(df).select("doc_id", "spans"),
+        lambda df: langid.identify_languages(df, {"en": b"some words", "xx": b"other ones"}).select("doc_id", "lang_pred", "lang_score"),
+        lambda df: packing.token_pieces(df, TOKENIZER, 512),
+    ):
+        one, two = (sorted(map(repr, operator(df).collect())) for df in (once, twice))
+        assert two == sorted(one * 2) and one
+    quality_of = lambda df: quality.quality_rules(df, least_rows=10)
+    assert quality_of(twice).count() == 2 * len(texts) and quality_of(twice).distinct().count() == len(texts)
+    packed = packing.pack_documents(twice, TOKENIZER, 512).collect()
+    assert len(packed) == 2 * packing.token_pieces(once, TOKENIZER, 512).count()
+    places = {}
+    for x in packed:
+        places.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    for own in places.values():
+        ends = [o + n for o, n in sorted(own)]
+        assert [o for o, _ in sorted(own)] == [0, *ends[:-1]] and ends[-1] <= 512

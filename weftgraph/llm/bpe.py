@@ -8,7 +8,9 @@ encoded again as one window. A window grows, over whole chunks if need be, until
 ends of both sides whatever stands beyond them: before white space that follows a character which is not white
 space, where no pattern of the pre-tokenizer can match across. The ids are exactly those of encoding the text whole.
 
-Nulls are encoded as empty texts, and an empty text has no ids. Repeated rows give repeated rows.
+Nulls are encoded as empty texts, and an empty text has no ids; a null id stays null. Very long texts are encoded whole.
+Repeated rows give repeated rows, and nothing is ranked, so there are no ties. An empty table gives no rows; further
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
