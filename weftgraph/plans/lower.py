@@ -164,7 +164,7 @@ class Lowering:
     def single(self, q: A.Single, sc: Scope) -> Scope:
         clauses = q.clauses
         if sc.df is None and len(clauses) > 1 and isinstance(clauses[0], A.Match) and isinstance(clauses[1], A.Projection):
-            if counted := self.counted(clauses[0], clauses[1]):
+            if counted := self.counted(clauses[0], clauses[1]) or self.counted_without(clauses[0], clauses[1]):
                 sc, clauses = self.project(counted[1], counted[0]), clauses[2:]
         if len(clauses) == 2 and sc.df is None:
             self.enough = self.limited(clauses[0], clauses[1])
@@ -313,6 +313,41 @@ class Lowering:
         kept = env[root].columns() if root in env else []
         return Scope(df.select(*kept, w.alias("_weight")), env), replace(p, items=items, order=order)
 
+    def counted_without(self, m: A.Match, p: A.Projection) -> tuple[Scope, A.Projection] | None:
+        """Matches of a tree pattern that lack an edge between two of its nodes, where only their number is read.
+
+        They are all matches, counted by weights, less those that have the edge. These are found from the distinct pairs
+        that it joins, so the pairs that lack it, which are most, are never listed.
+        """
+        nodes = {n.var for path in m.paths for n in path.nodes}
+        lacking = [c for c in conjuncts(m.where) if isinstance(c, A.Op) and c.name == "not" and isinstance(c.args[0], A.Exists)]
+        if m.optional or len(lacking) != 1 or any(variables(e) for i in p.items for e in [i.expr]) or p.order or p.distinct or p.star:
+            return None
+        x = lacking[0].args[0]
+        if x.where is not None or len(x.paths) != 1 or len(x.paths[0].rels) != 1 or x.paths[0].rels[0].hops or x.paths[0].rels[0].props or any(n.props for n in x.paths[0].nodes):
+            return None
+        ends = [n.var for n in x.paths[0].nodes]
+        if len(set(ends)) != 2 or not set(ends) <= nodes or x.paths[0].rels[0].var in {r.var for path in m.paths for r in path.rels}:
+            return None
+        rest = [c for c in conjuncts(m.where) if c is not lacking[0]]
+        where = rest[0] if rest else None
+        for c in rest[1:]:
+            where = A.Op("and", (where, c))
+        whole = replace(m, where=where)
+        if not (everything := self.counted(whole, p)):
+            return None
+        labels = self.infer_labels([*m.paths, *x.paths], {})
+        known = {v: labels[v] for v in ends}
+        if not all(labels.values()):
+            return everything
+        edge = A.Match([replace(x.paths[0], nodes=tuple(replace(n, labels=known[n.var]) for n in x.paths[0].nodes))])
+        pairs = self.match(edge, Scope(None))
+        own = {v: replace(pairs.env[v], props=()) for v in ends}
+        kept = [f"{b.c}__{part}" for b in own.values() for part in ("id", "label")]
+        having = self.match(whole, Scope(pairs.df.select(*kept).distinct(), own))
+        all_ = everything[0].df.select("_weight").unionByName(having.df.select(F.lit(-1).cast("long").alias("_weight")))
+        return Scope(all_, {"_weight": ValueB("_weight")}), everything[1]
+
     def clause(self, c: Any, sc: Scope) -> Scope:
         if isinstance(c, A.Match):
             return self.optional(c, sc) if c.optional else self.match(c, sc)
@@ -393,7 +428,9 @@ class Lowering:
                 both = (left.var in sc.env) + (right.var in sc.env)
                 away = left if left.var not in sc.env else right
                 fan = r.hops is not None or any(t.fans_out(fwd == (left.var in sc.env)) for t, fwd in oriented(self.graph.triplets(r.types), labels[left.var], labels[right.var], r.direction))
-                return (-both, r.hops is not None, min(hinted.get(r.var, 999), hinted.get(away.var, 999)), away.var not in fixed, fan)
+                near = right.var if away is left else left.var
+                spread = self.spread(r, labels[near]) if fan and r.hops is None else 0.0
+                return (-both, r.hops is not None, min(hinted.get(r.var, 999), hinted.get(away.var, 999)), away.var not in fixed, fan, spread)
 
             best = min(edges, key=rank)
             left, r, right = best
@@ -426,6 +463,11 @@ class Lowering:
             sc = self.where(c, sc)
         return sc
 
+    def spread(self, r: A.RelPattern, labels: tuple[str, ...]) -> float:
+        """How many edges a node has on average, by the planner's estimates of the tables' sizes; no job runs for it."""
+        edges = sum(_size(t.df) for t in self.graph.triplets(r.types) if t.src in labels or t.dst in labels)
+        return edges / max(1.0, sum(_size(self.graph.nodes[x].df) for x in labels))
+
     def selective(self, m: A.Match) -> dict[str, int]:
         """How selective the predicates on a variable look: 0 its key, 1 an equality, 2 another comparison."""
         out: dict[str, int] = {}
@@ -1349,6 +1391,13 @@ class Lowering:
         return F.size(F.array_distinct(array)) == F.size(array)
 
 
+def _size(df: DataFrame) -> float:
+    """The planner's estimate of a table's bytes, kept with it."""
+    if not hasattr(df, "_estimated"):
+        df._estimated = float(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df._estimated
+
+
 class _Bound:
     """A column in the place of a variable inside a lambda."""
 
