@@ -53,6 +53,16 @@ def wav(samples, rate=8000):
     return out.getvalue()
 
 
+def aligned(fps, queries, **how):
+    """Rows by id, and the matches of each id."""
+    rows, matches = {}, {}
+    for x in chroma.align_recordings(fps, queries, **how).collect():
+        rows[x["id"]] = x
+        if x["match_id"] is not None:
+            matches.setdefault(x["id"], []).append(x)
+    return rows, matches
+
+
 def test_chroma_aligns_shifted_and_noisy_recordings(spark):
     r = np.random.default_rng(0)
     scale = 220 * 2 ** (np.arange(24) / 12)
@@ -62,15 +72,15 @@ def test_chroma_aligns_shifted_and_noisy_recordings(spark):
     rows = [(0, wav(tune)), (1, wav(late)), (2, wav(0.9 * noisy / np.abs(noisy).max())), (3, wav(other)), (4, wav(tune)), (5, None), (6, wav(tune[:500]))]
     df = spark.createDataFrame(rows, "rec long, audio binary").withColumn("id", F.lit("clash"))
     fps = chroma.fingerprint_media(df, "audio", "rec").cache()
-    got = {x["id"]: x for x in chroma.align_recordings(fps, F.col("id") < 2).collect()}
+    got, found = aligned(fps, F.col("id") < 2)
     assert len(got) == 7 and got[4]["class_id"] == 0 and got[5]["n_frames"] == 0 == got[6]["n_frames"]
-    matches = {m["class_id"]: m for m in got[0]["matches"]}
+    matches = {m["match_id"]: m for m in found[0]}
     assert set(matches) == {1, 2}
     assert abs(matches[1]["offset"] * chroma.HOP - (len(late) - len(tune))) <= 2 * chroma.HOP and matches[2]["offset"] == 0
     a, b = (chroma.fingerprint(*chroma.read_wav(rows[i][1])) for i in (0, 1))
     offset, equal, error = chroma.best_offset(a, b)
     assert offset == matches[1]["offset"] and error == pytest.approx(matches[1]["error"])
-    assert not got[3]["matches"] and chroma.best_offset(a, np.zeros(0, np.uint32)) is None
+    assert set(found) == {0, 1} and chroma.best_offset(a, np.zeros(0, np.uint32)) is None
 
 
 def test_chroma_integral_filters_and_empty_table(spark):
@@ -96,7 +106,7 @@ def test_chroma_recall_of_noisy_copies(spark, noise):
         return np.bitwise_count(x[:n] ^ y[:n]).sum() / (32 * n)
 
     want = {i for i in range(120) if min(error(fp[i], fp[i + 120], o) for o in range(chroma.LEAST_OVERLAP - len(fp[i]), len(fp[i]) - chroma.LEAST_OVERLAP + 1)) <= 0.2}
-    got = {x["id"] for x in chroma.align_recordings(fps, F.col("id") < 120).collect() if x["id"] + 120 in {m["class_id"] for m in x["matches"]}}
+    got = {i for i, own in aligned(fps, F.col("id") < 120)[1].items() if i + 120 in {m["match_id"] for m in own}}
     assert len(want) >= 20 and len(want & got) >= 0.9 * len(want)
 
 
@@ -118,9 +128,9 @@ def test_chroma_recall_of_shifted_cropped_and_noisy_recordings(spark):
             errors = [np.bitwise_count(a[max(0, -o) :][:n] ^ b[max(0, o) :][:n]).sum() / (32 * n) for o in range(least - len(a), len(b) - least + 1) if (n := min(len(a) - max(0, -o), len(b) - max(0, o))) >= least]
             if i != j and min(errors) <= 0.2:
                 want.add((i, j))
-    got = {(x["id"], m["class_id"]) for x in chroma.align_recordings(fps, F.col("id") < 60).collect() for m in x["matches"]}
+    offsets = {(i, m["match_id"]): (m["offset"], m["equal"]) for i, own in aligned(fps, F.col("id") < 60)[1].items() for m in own}
+    got = set(offsets)
     assert got <= want and len(want) >= 25 and len(got) >= 0.9 * len(want)
-    offsets = {(x["id"], m["class_id"]): (m["offset"], m["equal"]) for x in chroma.align_recordings(fps, F.col("id") < 60).collect() for m in x["matches"]}
     assert all(chroma.best_offset(fp[i], fp[j])[:2] == o for (i, j), o in offsets.items())
 
 

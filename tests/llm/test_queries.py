@@ -51,16 +51,16 @@ def remainder(doc_id, n):
 def test_op1(run):
     vectors = rows_of(f"SELECT vec_id, embedding FROM '{SF}/embeddings.parquet'")
     fps = {i: chroma.fingerprint(*chroma.render_vector(v)) for i, v in vectors}
-    got = run(1, "vec_id")
-    assert set(got) == set(fps)
-    for i, x in got.items():
-        assert x["is_query"] == (i % 20 == 0) and (x["is_query"] or not x["matches"])
-        for m in x["matches"]:
-            assert m["class_id"] in fps and m["error"] <= 0.2
-            a, b = fps[i], fps[m["class_id"]]
-            a, b = a[max(0, -m["offset"]) :], b[max(0, m["offset"]) :]
+    got = run(1, None)
+    assert {x["vec_id"] for x in got} == set(fps) and len({(x["vec_id"], x["match_id"]) for x in got}) == len(got)
+    for x in got:
+        assert x["is_query"] == (x["vec_id"] % 20 == 0) and x["class_id"] <= x["vec_id"]
+        if x["match_id"] is not None:
+            assert x["match_id"] in fps and x["error"] <= 0.2 and x["vec_id"] == x["class_id"]
+            a, b = fps[x["vec_id"]], fps[x["match_id"]]
+            a, b = a[max(0, -x["offset"]) :], b[max(0, x["offset"]) :]
             n = min(len(a), len(b))
-            assert n >= chroma.LEAST_OVERLAP and np.bitwise_count(a[:n] ^ b[:n]).sum() / (32 * n) == pytest.approx(m["error"])
+            assert n >= chroma.LEAST_OVERLAP and np.bitwise_count(a[:n] ^ b[:n]).sum() / (32 * n) == pytest.approx(x["error"])
 
 
 def test_op2(run, documents):

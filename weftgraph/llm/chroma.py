@@ -13,7 +13,8 @@ handful for a pair of copies.
 Overlaps under LEAST_OVERLAP frames are no alignments: of 210 000 overlaps of unrelated renderings the least error was
 0.09 at 8 frames, 0.13 at 16, 0.23 at 32 and 0.24 at 48, so short ones pass an error of 0.2 by chance.
 
-Nulls: a null, too short or unreadable recording has no frames and aligns with none; a null id is a row like others.
+Nulls: a null, too short or unreadable recording has no frames and aligns with none; a null id is a row like others, but a
+class of nulls alone is matched with none.
 Very long recordings are read whole, in blocks of frames. Exact copies are one class, and repeated rows get the same
 matches. Of offsets with equally many votes the one nearest to zero is taken, then the lesser. An empty table gives
 no rows; further columns are not read, whatever their names.
@@ -194,11 +195,11 @@ def fingerprint_media(df: DataFrame, media_col: str, id_col: str, decode: Callab
 
 
 def align_recordings(fps: DataFrame, is_query, most_error: float = 0.2, least_equal: int = 1, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
-    """Rows (id, class_id, n_frames, is_query, matches) for every row of ``fps``, which should be materialized.
+    """Rows (id, class_id, n_frames, is_query, match_id, offset, equal, error) for every row of ``fps``, which should be materialized.
 
     Equal fingerprints are one class, named by its least id. The classes that hold a query are matched with all other
-    classes; ``matches`` has (class_id, offset, equal, error) by class_id, for query classes' query rows only. Runs of
-    an equal key inside a recording vote once, at their start, so silence and held notes do not multiply votes.
+    classes. The rows of a class's least id carry its matches, one a row, match_id being the other class; all other
+    rows, and those of classes without matches, come once with nulls. So copies are not expanded, and no list is gathered.
     """
     rows = fps.withColumn("is_query", is_query)
     classes = materialize(rows.groupBy("digest").agg(F.min("id").alias("class_id"), F.first("fp").alias("fp"), F.max("is_query").alias("asks")))
@@ -241,12 +242,10 @@ def align_recordings(fps: DataFrame, is_query, most_error: float = 0.2, least_eq
     n = F.least(F.size("x") - x0, F.size("y") - y0)
     # bit_count widens negative integers to 64 bits, so the upper half is masked off
     wrong = F.aggregate(F.zip_with(F.slice("x", x0 + 1, n), F.slice("y", y0 + 1, n), lambda p, s: F.bit_count(p.bitwiseXOR(s).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda s, v: s + v)
-    judged = over.where(n >= least_overlap).select("a", F.struct(F.col("b").alias("class_id"), F.col("off").alias("offset"), F.col("o.equal").alias("equal"), (wrong / (32 * n)).alias("error")).alias("m"))
-    found = judged.where(F.col("m.error") <= most_error).groupBy("a").agg(F.sort_array(F.collect_list("m")).alias("found"))
-    named = classes.select("digest", "class_id").join(found, F.col("class_id") == F.col("a"), "left").select("digest", "class_id", "found")
-    out = rows.select("id", "digest", "n_frames", "is_query").join(named, "digest")
-    empty = F.array().cast("array<struct<class_id:bigint,offset:int,equal:bigint,error:double>>")
-    return out.select("id", "class_id", "n_frames", "is_query", F.when(F.col("is_query"), F.coalesce("found", empty)).otherwise(empty).alias("matches"))
+    judged = over.where(n >= least_overlap).select("a", F.col("b").alias("match_id"), F.col("off").alias("offset"), F.col("o.equal").alias("equal"), (wrong / (32 * n)).alias("error"))
+    found = judged.where(F.col("error") <= most_error)
+    named = rows.select("id", "digest", "n_frames", "is_query").join(classes.select("digest", "class_id"), "digest")
+    return named.join(found, (F.col("id") == F.col("class_id")) & (F.col("class_id") == F.col("a")), "left").select("id", "class_id", "n_frames", "is_query", "match_id", "offset", "equal", "error")
 
 
 RATE, NOTE = 8000, 512
