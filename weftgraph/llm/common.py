@@ -75,6 +75,33 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         delete(spark, path)
 
 
+_LEFT: dict[str, list[str]] = {}
+
+
+@contextlib.contextmanager
+def stage_scratch(spark: SparkSession, docs: DataFrame, final: bool = False) -> Iterator[None]:
+    """As ``scratch`` for a stage whose result is written after it returns: its tables are deleted when a later stage begins.
+
+    A ``final`` stage's tables are not. Others stay as long as the ``docs`` of later stages read them, that is, where a result was handed on without being written.
+    """
+    left = _LEFT.setdefault(spark.sparkContext.applicationId, [])
+    read = docs.inputFiles() if left else []
+    for path in list(left):
+        name = path.rsplit("/", 1)[1]
+        if not any(name in f for f in read):
+            delete(spark, path)
+            left.remove(path)
+    if final:
+        yield
+        return
+    _SCRATCH.append(f"stage-{uuid.uuid4().hex}")
+    left.append("/".join([shared_folder(spark), *_SCRATCH]))
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a folder of this application's."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
