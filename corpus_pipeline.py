@@ -1,23 +1,41 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
+A stage's result must be written before a stage after the next one is called; then what it wrote for itself is deleted.
 Stages tell rows apart by a number that is written with them, never by doc_id or by a hash, so rows whose doc_id is
 null or shared are neither lost nor mixed up. Columns beyond those of documents pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _stage(apply: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A stage; the last one's own tables stay, as its result is the pipeline's and is read when the caller likes."""
+
+    @wraps(apply)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        from weftgraph.llm import common
+
+        common.session_for_texts(spark)
+        with common.stage_scratch(spark, docs, final=apply.__name__ == "best_fit_packing"):
+            return apply(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is certain; lang becomes the language found. The fit is on the labels that docs has.
 
     Rejected are texts that are null or have no letter, and those between languages.
     """
-    from weftgraph.llm import common, langid
+    from weftgraph.llm import langid
 
-    common.session_for_texts(spark)
     prefix = "_lang_"
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
@@ -25,22 +43,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(~F.col(f"{prefix}rejected")).withColumn("lang", F.col(f"{prefix}pred")).select(*docs.columns)
 
 
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
     from weftgraph.llm import common, quality
 
-    common.session_for_texts(spark)
     uid = common.fresh(docs, "_row")
     rows = common.with_row_id(docs, uid)
     good = quality.quality_rules(rows, keep=(uid,)).where("kept").select(uid)
     return rows.join(good, uid, "left_semi").select(*docs.columns)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates: that with the least doc_id, a null one last, then with the least hash of the row."""
     from weftgraph.llm import common, simhash
 
-    common.session_for_texts(spark)
     uid = common.fresh(docs, "_row")
     rows = common.with_row_id(docs, uid)
     found = simhash.near_duplicates(rows, id_col=uid).select(F.col("doc_id").alias("u"), "component_id")
@@ -49,21 +67,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.join(first, uid, "left_semi").select(*docs.columns)
 
 
+@_stage
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with personal data masked by its kind; n_chars is the new length."""
-    from weftgraph.llm import common, pii
+    from weftgraph.llm import pii
 
-    common.session_for_texts(spark)
     return pii.mask_pii(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of at most 2048 tokens."""
     import public_tokenizers
 
-    from weftgraph.llm import common, packing
+    from weftgraph.llm import packing
 
-    common.session_for_texts(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
