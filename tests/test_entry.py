@@ -36,4 +36,12 @@ WHOLE = ["expand_edge_props", "expand_any_type", "self_join_neq", "cast_string",
 
 @pytest.mark.parametrize("name", WHOLE)
 def test_whole_tables_against_sql(spark, name):
-    test_against_sql(spark, f"{name}_whole")
+    test_against_sql(spark, name)
+
+
+NEW = ["refers_between", "refers_nearest", "refers_all_shortest", "refers_trail", "named_path_long", "path_pred_both", "exists_alone", "exists_alone_marked", "interval_mixed", "lsqb_q8_like", "dml_merge_rel", "macro_call", "load_graph_spec"]
+
+
+@pytest.mark.parametrize("name", NEW)
+def test_further_forms_against_sql(spark, name):
+    test_against_sql(spark, name)
