@@ -17,7 +17,7 @@ from weftgraph.queries import QUERIES
 
 HEADLINE = [
     "lsqb_q1_like", "lsqb_q2_like", "lsqb_q3_like", "lsqb_q4_like", "lsqb_q5_like", "lsqb_q6_like", "lsqb_q7_like", "lsqb_q8_like", "lsqb_q9_like",
-    "flagship_region_orders", "group_multi_key", "topk", "optional_where_corr", "exists_correlated", "square", "path_walk_1_3", "path_shortest_len", "ic3_like", "ic10_like", "refers_between", "refers_nearest", "refers_triangles",
+    "flagship_region_orders", "group_multi_key", "topk", "optional_where_corr", "exists_correlated", "square", "path_walk_1_3", "path_shortest_len", "ic3_like", "ic10_like", "refers_nearest", "refers_triangles",
 ]
 
 

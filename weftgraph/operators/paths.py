@@ -153,8 +153,8 @@ def shortest_between(pairs: DataFrame, hops: DataFrame, hi: int, every: bool, fu
     side = {"f": _begun(starts, hops, state), "b": _begun(pairs.select(F.col("end").alias("root"), F.col("el").alias("rootl")).distinct(), hops, state, True)}
     visited: dict[str, DataFrame | None] = {"f": None, "b": None}
     depth, size = {"f": 0, "b": 0}, {"f": 0, "b": 0}
-    found = []
-    while sum(depth.values()) < hi and not open_.isEmpty():
+    found, left = [], open_.count()
+    while sum(depth.values()) < hi and left:
         x = min("fb", key=lambda k: (size[k], depth[k]))
         mine = ("root", "rootl") if x == "f" else ("end", "el")
         wanted = open_.select(F.col(mine[0]).alias("root"), F.col(mine[1]).alias("rootl")).distinct()
@@ -182,8 +182,9 @@ def shortest_between(pairs: DataFrame, hops: DataFrame, hi: int, every: bool, fu
         else:
             new = met.select(*_ENDS).distinct()
         new = written(new)
-        found.append(new.withColumn("len", F.lit(sum(depth.values()))))
-        open_ = written(open_.join(new.select(*_ENDS), _ENDS, "left_anti"))
+        if done := (new.select(*_ENDS).distinct() if every and full else new).count():
+            found.append(new.withColumn("len", F.lit(sum(depth.values()))))
+            open_, left = written(open_.join(new.select(*_ENDS), _ENDS, "left_anti")), left - done
     if not found:
         found = [_begun(starts, hops, state).drop("ok").limit(0).withColumn("len", F.lit(0))]
     return _unfolded(reduce(lambda a, b: a.unionByName(b), found), every, full)
